@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import chat, packing, rules, simhash, token_counts
+from tapewatch.llm import chat, html_region, language_model, line_crf, media, mixing, packing, rules, simhash, token_counts
 from tapewatch.llm.common import table
 
 
@@ -16,6 +16,27 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = media.render_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return media.copy_classes(drawn, "vec_id", "image")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(table(spark, sf_dir, "documents"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_region.extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.fold_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id", "n_links")
@@ -63,10 +84,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
+    "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
+    "op6_html": op6_html,
     "op7_rules": op7_rules,
     "op8_packing": op8_packing,
+    "op9_language_model": op9_language_model,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE = {"op5_chat": OP5_SQL}
