@@ -70,4 +70,7 @@ def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
     new = {"copy_no": F.col("_copy").cast("long"), "shuffle_key": key, "rate": F.col("_rate")}
     out = copies.select(*(F.col(f"`{c}`") for c in docs.columns), *(v.alias(k) for k, v in new.items() if k not in docs.columns), key.alias("_order"))
-    return out.sort("_order").drop("_order")
+    # The keys are uniform on [0, 16 ** 15): equal ranges are equal shares, and no sampling pass is needed.
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.least(F.floor(F.col("_order") / float(16**15) * parts), F.lit(parts - 1)).cast("int")
+    return out.repartitionById(parts, part).sortWithinPartitions("_order").drop("_order")

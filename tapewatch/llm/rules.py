@@ -108,3 +108,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.lit(True),
     )
     return met.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"))
+
+
+def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The rows of docs, all columns unchanged, that quality_rules keeps.
+
+    Rows with the same id and the same words share their verdict, so rows are matched by id and
+    a hash of the text; a null id matches itself.
+    """
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull(), F.coalesce(F.col(text_col).cast("string"), F.lit("")), *(F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups))
+    kept = quality_rules(docs.withColumn("_rule_key", key), "_rule_key", text_col, groups).filter("kept").select("_rule_key").distinct()
+    return docs.withColumn("_rule_key", key).join(kept, "_rule_key", "left_semi").drop("_rule_key")

@@ -128,3 +128,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     values = keep(known.join(smallest, "label").select("fp", "n_rows", "component_id", "n_links"))
     out = join_small_keys(rows, values, "fp", "n_rows", total)
     return out.select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of docs, all columns unchanged, with the smallest id of their near-duplicate class.
+
+    Of rows that repeat an id only one stays. Rows with a null id can't be told apart and go,
+    unless no row of their class has an id; then they all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, distance)
+    first = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    nameless = docs.filter(F.col(id_col).isNull())
+    if not nameless.limit(1).count():
+        return named
+    lone = found.filter(F.col("component_id").isNull()).select("fp").distinct()
+    marked = fingerprints(nameless.withColumn("_row", F.struct(*nameless.columns)), "_row", text_col, shingle)
+    return named.unionByName(marked.join(lone, "fp", "left_semi").select("_row.*"))
