@@ -1,4 +1,6 @@
 """Names of all queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tapewatch.plans import surveillance
+
+QUERIES: dict = {**surveillance.QUERIES}
+ORACLE: dict = {**surveillance.ORACLE}
