@@ -1,6 +1,6 @@
 """Names of all queries and their SQL."""
 
-from tapewatch.plans import surveillance
+from tapewatch.plans import cases, surveillance
 
-QUERIES: dict = {**surveillance.QUERIES}
-ORACLE: dict = {**surveillance.ORACLE}
+QUERIES: dict = {**surveillance.QUERIES, **cases.QUERIES}
+ORACLE: dict = {**surveillance.ORACLE, **cases.ORACLE}
