@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -17,7 +18,9 @@ from tapewatch.llm.common import keep
 from tapewatch.llm.token_counts import _tokenizer
 
 #: Words whose ids a Python worker remembers, and bytes of text encoded at a time.
-MEMO_WORDS, CHUNK_BYTES = 400_000, 1 << 21
+MEMO_WORDS, CHUNK_BYTES = 800_000, 1 << 22
+#: Punctuation that a word may end with.
+TAIL = b".,!%$#&*|"
 
 _memo: dict[str, dict[bytes, bytes]] = {}
 
@@ -25,24 +28,42 @@ _memo: dict[str, dict[bytes, bytes]] = {}
 def encode_texts(texts: list[bytes], path: str, end_id: int = 1) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text and then end_id.
 
-    The tokenizer never merges across white space, so each word is encoded once and remembered.
+    This tokenizer lower-cases, never merges across white space, and never between letters and
+    punctuation. So each distinct word is encoded once and remembered, and a new word of letters
+    followed by TAIL characters is put together from its two parts. Texts that may hold the
+    strings of added tokens keep their case.
     """
     tok, memo = _tokenizer(path), _memo.setdefault(path, {})
     end, at = np.array([end_id], "<u4").tobytes(), 0
+
+    def learn(words: list[bytes]) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            for word, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                memo[word] = array("I", e.ids).tobytes()
+
     while at < len(texts):
         chunk, held = [], 0
         while at < len(texts) and held < CHUNK_BYTES:
-            chunk.append(texts[at].split())
-            held += len(texts[at])
+            text = texts[at]
+            chunk.append((text if b"<|" in text else text.lower()).split())
+            held += len(text)
             at += 1
-        new = list(set().union(*chunk).difference(memo))
+        new = set().union(*chunk).difference(memo)
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
-            new = list(set().union(*chunk))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                memo[word] = np.array(e.ids, "<u4").tobytes()
+            new = set().union(*chunk)
+        whole, parted = [], []
+        for word in new:
+            core = word.rstrip(TAIL)
+            if core and len(core) < len(word) and core.decode("utf-8", "replace").isalpha():
+                parted.append((word, core, word[len(core) :]))
+            else:
+                whole.append(word)
+        learn(whole)
+        learn(list({x for _, core, tail in parted for x in (core, tail)}.difference(memo)))
+        for word, core, tail in parted:
+            memo[word] = memo[core] + memo[tail]
         for words in chunk:
             yield b"".join(map(memo.__getitem__, words)) + end
 
