@@ -51,9 +51,7 @@ def chosen_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     found = keep(leaves.select("conv_id", F.col("node").alias("path"), "rank", "node", F.col("dist").alias("depth")))
     for k, level in enumerate(levels):
         more = found.join(level, ["conv_id", "node"]).select("conv_id", "path", "rank", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        found = found.unionByName(more)
-        if k % 3 == 2:
-            found = keep(found)
+        found = keep(found.unionByName(more))  # each turn reads it twice; its self-join needs fresh columns
     return found
 
 
