@@ -36,15 +36,15 @@ def chosen_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     log2(d) of them. Leaves are ranked by their branch's score (ties: the smaller leaf), and the
     chosen leaves collect their ancestors by the same pointers.
     """
-    step = keep(nodes.select("conv_id", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("dist")))
-    levels = []
-    while step.filter("up is not null").limit(1).count():
-        levels.append(step.select("conv_id", "node", "up").filter("up is not null"))
-        far = step.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("dist").alias("dist2"))
-        step = step.join(far, ["conv_id", "up"], "left").select(
-            "conv_id", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist")
-        )
-        step = keep(step)
+    first = keep(nodes.select("conv_id", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("dist")))
+    done, open_, levels = first.filter("up is null"), first.filter("up is not null"), []
+    while open_.limit(1).count():  # only nodes whose pointer hasn't reached a root are joined again
+        levels.append(open_.select("conv_id", "node", "up"))
+        far = done.unionByName(open_).select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("dist").alias("dist2"))
+        moved = open_.join(far, ["conv_id", "up"]).select("conv_id", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("dist") + F.col("dist2")).alias("dist"))
+        moved = keep(moved)
+        done, open_ = done.unionByName(moved.filter("up is null")), moved.filter("up is not null")
+    step = done
     inner = nodes.select("conv_id", F.col("parent").alias("node")).filter("node is not null").distinct()
     best = Window.partitionBy("conv_id").orderBy(F.desc("sum"), "node")
     leaves = step.join(inner, ["conv_id", "node"], "left_anti").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= paths)
