@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewatch.functions.storage import keep, ship_package
+
+__all__ = ["keep", "ship_package", "table", "words_of", "let", "doc_fold", "join_small_keys"]
+
 #: White space of the contracts: space and the ASCII controls tab to carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,37 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place where the driver has it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage.
-
-    The folder is the one that spark.checkpoint.dir names; only where that setting is missing
-    (tests on one machine) a temporary folder is made. Lost executors reread the written files.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def words_of(text: Column) -> Column:
     """The words of a text: runs of anything but SPACE_CLASS; null gives none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS)
     return F.filter(parts, lambda w: w != "")
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z alone."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it in a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.llm.common import doc_fold, keep
 
-#: Key of the token that ends a text, smoothing mass of a state, and rows of a block (2 ** BLOCK_BITS).
+#: Key of the token that ends a text, smoothing mass of a state, and bytes of text after which a block ends.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
 MASS = 100.0
-BLOCK_BITS = 13
+BLOCK_BYTES = 1 << 24
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -31,13 +32,12 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
     Before the first token of a text stands the end of the one before.
     """
-    digest, parts, lengths = xxhash.xxh64_intdigest, [], []
+    digest, parts, lengths, end = xxhash.xxh64_intdigest, [], [], np.array([END], np.uint64)
     for t in texts:
         words = (t or b"").lower().split()
-        parts += map(digest, words)
-        parts.append(int(END))
+        parts += [np.fromiter(map(digest, words), np.uint64, len(words)), end]
         lengths.append(len(words) + 1)
-    one = np.array(parts, np.uint64)
+    one = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     before = np.concatenate([[END], one[:-1]]).astype(np.uint64) if len(one) else one
     with np.errstate(over="ignore"):
         two = _mix(before * np.uint64(0x9E3779B97F4A7C15) + one)
@@ -63,6 +63,25 @@ def slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
             yield int(of[a]), int(a), int(b)
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of batches (row number, learn, text, ...) with their block: the number of its first row.
+
+    A block ends after size bytes of text, so the same rows always give the same blocks.
+    """
+    block, held = None, 0
+    for b in batches:
+        start = 0
+        for i, n in enumerate(pa.compute.binary_length(b.column(2)).to_pylist()):
+            if block is None:
+                block = b.column(0)[i].as_py()
+            held += n or 0
+            if held >= size:
+                yield block, b.slice(start, i + 1 - start)
+                start, block, held = i + 1, None, 0
+        if start < b.num_rows:
+            yield block, b.slice(start)
+
+
 def block_counts(texts: list[bytes | None], learn: list[bool], buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """(order, bucket, keys, counts): the block's distinct n-grams, and how often texts to learn from hold them."""
     one, two, lengths = grams(texts)
@@ -99,7 +118,7 @@ def traverse(texts: list[bytes | None], totals: dict[int, np.ndarray], n: int, v
     return lengths, add(c > 0), add(np.log10(low)), add(np.log10(arc))
 
 
-def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", mass: float = MASS, materialize: bool = False) -> DataFrame:
+def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", mass: float = MASS, materialize: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id_col, learned, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     learn is a boolean column: the rows that the model is learned from. Blocks of rows count
@@ -116,7 +135,8 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).cast("string").cast("binary").alias("text"))
     if materialize:
         rows = keep(rows)
-    rows = rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "learn", "text", "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, learned, at = [], [], None
@@ -127,15 +147,18 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
                 order, bucket, keys, counts = zip(*got[i : i + 16])
                 yield pa.RecordBatch.from_arrays([pa.array([at] * len(order), pa.int64()), pa.array(order, pa.int32()), pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["block", "ord", "bucket", "keys", "counts"])
 
-        for b in batches:
-            for block, ok, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if block != at:
-                    yield from done()
-                    texts, learned, at = [], [], block
-                texts.append(text)
-                learned.append(ok)
+        for block, part in in_blocks(batches, block_bytes):
+            if block != at:
+                yield from done()
+                texts, learned, at = [], [], block
+            learned += part.column(1).to_pylist()
+            texts += part.column(2).to_pylist()
         yield from done()
 
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in in_blocks(batches, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([block] * part.num_rows, pa.int64()), part.column(1), part.column(2), part.column(3)], names=["block", "learn", "text", "id"])
+
     def total(group: pa.Table) -> pa.Table:
         held = [np.cumsum(unplanes(k, np.uint64), dtype=np.uint64) for k in group["keys"].to_pylist()]
         counts = [unplanes(c, np.uint32) for c in group["counts"].to_pylist()]
@@ -146,12 +169,11 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
         first = [1] + [0] * (len(back) - 1)
         return pa.table([group["block"], group["ord"], group["bucket"], pa.array(back, pa.binary()), pa.array([int((sums > 0).sum()) * f for f in first], pa.int64()), pa.array([int(sums.sum(dtype=np.int64)) * f for f in first], pa.int64())], names=["block", "ord", "bucket", "totals", "types", "tokens"])
 
-    counted = rows.select("block", "learn", "text").mapInArrow(count, "block bigint, ord int, bucket int, keys binary, counts binary")
+    counted = rows.drop("id").mapInArrow(count, "block bigint, ord int, bucket int, keys binary, counts binary")
     totals = counted.groupBy("ord", "bucket").applyInArrow(total, "block bigint, ord int, bucket int, totals binary, types bigint, tokens bigint")
     totals = keep(totals)
     known = totals.filter("ord = 1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     v, n = int(known[0]), int(known[1])
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def score(texts: pa.Table, sums: pa.Table) -> pa.Table:
         order = np.lexsort((sums["bucket"].to_numpy(), sums["ord"].to_numpy()))
@@ -164,7 +186,8 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
 
     # The texts of a block come in row order: its distinct keys, and so the totals, don't depend on it,
     # but the token before the first one of a text must be the end of a text, which it is in any order.
-    scored = rows.groupBy("block").cogroup(totals.select("block", "ord", "bucket", "totals").groupBy("block"))
+    tagged = rows.mapInArrow(tag, f"block bigint, learn boolean, text binary, id {kind}")
+    scored = tagged.groupBy("block").cogroup(totals.select("block", "ord", "bucket", "totals").groupBy("block"))
     out = scored.applyInArrow(score, f"id {kind}, learned boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "learned", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -26,7 +26,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.poisson_mix(table(spark, sf_dir, "documents"))
+    return mixing.poisson_mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
+
+
+OP4_SQL = """
+WITH n AS (SELECT source, count(*) AS c FROM documents GROUP BY 1),
+r AS (SELECT source, CAST((SELECT sum(c) FROM n) AS DOUBLE) * sqrt(c) / ((SELECT sum(sqrt(c)) FROM n) * c) AS rate FROM n),
+k AS (SELECT unnest(range(0, 120)) AS k),
+f AS (SELECT k, coalesce(sum(CASE WHEN k > 0 THEN ln(k) END) OVER (ORDER BY k), 0) AS lf FROM k),
+p AS (SELECT r.source, r.rate, f.k, sum(exp(f.k * ln(r.rate) - r.rate - f.lf)) OVER (PARTITION BY r.source ORDER BY f.k) AS cdf FROM r, f),
+u AS (SELECT *, CAST('0x' || substr(md5('mix|' || CAST(doc_id AS VARCHAR) || '|' || source), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM documents)
+SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, p.k + 1 AS copy_no,
+  CAST('0x' || substr(md5('mix|' || CAST(u.doc_id AS VARCHAR) || '|' || CAST(p.k + 1 AS VARCHAR)), 1, 15) AS BIGINT) AS shuffle_key, round(p.rate, 9) AS rate
+FROM u JOIN p ON p.source = u.source AND p.cdf <= u.u"""
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +107,4 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE = {"op5_chat": OP5_SQL}
+ORACLE = {"op4_mixing": OP4_SQL, "op5_chat": OP5_SQL}

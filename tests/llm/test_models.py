@@ -117,12 +117,13 @@ def test_op9_query(spark, sf):
     assert sum(g[6] for g in held) > sum(g[5] for g in held)
 
 
-def test_language_model_cases(spark, monkeypatch):
+def test_language_model_cases(spark):
     from pyspark.sql import functions as F
 
     docs = documents(spark)
     learn = [(i or 0) % 2 == 1 for i, *_ in TEXTS]
-    same(language_model.score_texts(docs, F.col("doc_id") % 2 == 1).collect(), brute_model([t[:2] for t in TEXTS], learn))
+    for size in (1, 300, 1 << 24):
+        same(language_model.score_texts(docs, F.col("doc_id") % 2 == 1, block_bytes=size).collect(), brute_model([t[:2] for t in TEXTS], learn))
     same(language_model.score_texts(docs.repartition(3), F.lit(False), materialize=True).collect(), brute_model([t[:2] for t in TEXTS], [False] * len(TEXTS)))
     assert language_model.score_texts(documents(spark, []), F.lit(True)).count() == 0
 

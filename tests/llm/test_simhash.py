@@ -4,7 +4,8 @@ import re
 
 import xxhash
 
-from tapewatch.llm import components, queries, simhash
+from tapewatch.llm import queries, simhash
+from tapewatch.operators import components
 from tests.llm.cases import TEXTS, documents
 
 UP = {c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
