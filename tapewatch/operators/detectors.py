@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapewatch.functions.schemas import require_unlabelled
+from tapewatch.functions.storage import keep
 from tapewatch.operators.relations import account_components, is_related, relation_keys
 
 ORDER_COLS = ("timestamp_ns", "is_exec", "idx")
@@ -103,7 +104,7 @@ def closing_legs(executions: DataFrame, entities: DataFrame, close: DataFrame, w
 def marking_the_close(executions: DataFrame, entities: DataFrame, close: DataFrame, window_ns: int = 300_000_000_000, share: float = 0.4, min_group: int = 100, min_total: int = 500) -> DataFrame:
     """The first check of each account group in each instrument whose share of the closing volume is large."""
     require_unlabelled(executions)
-    legs = closing_legs(executions, entities, close, window_ns)
+    legs = keep(closing_legs(executions, entities, close, window_ns))  # read four times below
     passed = legs.filter((F.col("group_qty") >= min_group) & (F.col("total_qty") >= min_total) & (F.col("share") >= share))
     order = Window.partitionBy("instrument_id", "component").orderBy("timestamp_ns", "idx", "leg")
     fired = passed.withColumn("_n", F.row_number().over(order)).filter("_n = 1")

@@ -38,6 +38,7 @@ def related_pairs(entities: DataFrame) -> DataFrame:
 def account_components(entities: DataFrame) -> DataFrame:
     """account_id and component_id, the smallest account that chains of the relation reach."""
     keys = relation_keys(entities)
-    labels = component_labels(keys.select(F.col("account_id").alias("a"), F.concat(F.lit("~"), F.col("key")).alias("b")))
+    least = keys.groupBy("key").agg(F.min("account_id").alias("b"))  # a key's accounts form a star around the smallest
+    labels = component_labels(keys.join(least, "key").select(F.col("account_id").alias("a"), "b"))
     accounts = entities.select("account_id").distinct().join(labels.withColumnRenamed("node", "account_id"), "account_id", "left")
     return accounts.select("account_id", F.coalesce("label", "account_id").alias("component_id"))
