@@ -13,7 +13,7 @@ WINDOW = 8
 #: Sketch size; rows that a group's own sketch needs; how far beyond the quartiles a value may lie,
 #: in quartile distances, and the least allowance for each measure.
 SKETCH_K, GROUP_ROWS, FENCE = 800, 100, 3.0
-LEAST = {"symbol_rate": 0.02, "dup_line_rate": 0.3, "mean_word": 4.0}
+LEAST = {"symbol_rate": 0.02, "dup_line_rate": 0.5, "mean_word": 4.0}
 
 
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
