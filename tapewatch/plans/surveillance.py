@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapewatch.functions.storage import keep, numbered
-from tapewatch.operators import book, detectors, relations
+from tapewatch.operators import book, detectors, keyed, relations
 from tapewatch.sources import adapter
 
 BASE = adapter.SQL
@@ -180,6 +180,16 @@ def spoof_alerts(spark, sf):
     return spoof_scores(spark, sf).filter("fired").drop("fired")
 
 
+def front_running_stateful(spark, sf):
+    """The keyed state's pairs: the same as the interval join's, as the derived flow's time never goes back."""
+    found = keyed.front_running_pairs(sequenced(spark, sf), adapter.entities(spark, sf))
+    return found.select("instrument_id", "window_start_ns", "window_end_ns", F.concat_ws(",", "prior_account", "account_id").alias("account_ids"), F.concat_ws(",", "prior_order", "order_id").alias("order_ids"))
+
+
+def zscore_stateful(spark, sf):
+    return keyed.outliers(sequenced(spark, sf)).select("instrument_id", "account_id", "order_id", "timestamp_ns", F.round("score", 6).alias("score"), "n")
+
+
 def recent_events(spark, sf):
     w = Window.partitionBy("instrument_id").orderBy(F.desc("timestamp_ns"), F.desc("is_exec"), F.desc("idx"))
     rows = adapter.order_events(spark, sf).withColumn("n", F.row_number().over(w)).filter("n <= 200")
@@ -247,13 +257,15 @@ A7 = " SELECT alert_id, detector_name, instrument_id, window_start_ns, window_en
 
 QUERIES = {f.__name__: f for f in (
     zscore_alerts, wash_trades, front_running, mtc_alerts, mtc_group_share, related_pairs, account_components, book_level_qty, book_best_price,
-    book_depth_cumulative, queue_position, level_trace, concurrent_orders, book_trace, book_snapshots, spoof_scores, spoof_alerts, recent_events,
+    book_depth_cumulative, queue_position, level_trace, concurrent_orders, book_trace, book_snapshots, front_running_stateful, zscore_stateful, spoof_scores, spoof_alerts, recent_events,
     book_events, event_sequence, drop_oldest, strip_labels, execution_sides, distinct_instruments,
 )} | {"all_alerts": all_alerts_flat}
 ORACLE = {
     "zscore_alerts": BASE + ZSCORE + PICK + "zs",
     "wash_trades": BASE + WASH + PICK.replace(" FROM ", ", evidence FROM ") + "ws",
     "front_running": BASE + FRONT + PICK.replace(" FROM ", ", evidence FROM ") + "fr",
+    "front_running_stateful": BASE + FRONT + " SELECT instrument_id, window_start_ns, window_end_ns, account_ids, order_ids FROM fr",
+    "zscore_stateful": BASE + ZSCORE.replace("FROM prior WHERE", ", n FROM prior WHERE") + " SELECT instrument_id, account_ids AS account_id, order_ids AS order_id, window_start_ns AS timestamp_ns, score, n FROM zs",
     "mtc_alerts": BASE + MTC + " SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, n_trades FROM mt",
     "mtc_group_share": BASE + MTC + """ SELECT g.instrument_id, 'ACC-' || lpad(CAST(CAST(substr(comp, 5) AS BIGINT) * 2 AS VARCHAR), 6, '0') AS component, group_qty, n_accounts, total_qty, round(CAST(group_qty AS DOUBLE) / total_qty, 6) AS share
       FROM (SELECT instrument_id, comp, CAST(sum(qty) AS BIGINT) AS group_qty, count(DISTINCT account) AS n_accounts FROM lg GROUP BY 1, 2) g

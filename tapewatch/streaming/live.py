@@ -14,6 +14,7 @@ from tapewatch.functions.schemas import require_unlabelled
 from tapewatch.functions.storage import ship_package
 from tapewatch.operators.anomaly import FEATURE_ROWS, FlowWindow
 from tapewatch.operators.book import IN, SCORES, Book, SpoofState
+from tapewatch.operators.keyed import OUTLIERS, PAIRS, FrontRunState, RunningStats, front_run_step, stats_step, with_relations
 from tapewatch.operators.relations import is_related
 
 
@@ -26,7 +27,7 @@ class _Keyed(StatefulProcessor):
     def fresh(self):
         raise NotImplementedError
 
-    def step(self, state, key: tuple, row: dict) -> dict | None:
+    def step(self, state, key: tuple, row: dict) -> dict | list[dict] | None:
         raise NotImplementedError
 
     names: list[str]
@@ -41,7 +42,7 @@ class _Keyed(StatefulProcessor):
         for row in frame.to_dict("records"):
             got = self.step(state, key, row)
             if got:
-                out.append(got)
+                out += got if isinstance(got, list) else [got]
         self._state.update((pickle.dumps(state),))
         if out:
             yield pd.DataFrame(out)[self.names]
@@ -78,6 +79,39 @@ class FlowProcessor(_Keyed):
         return got and {"account_id": key[0], "instrument_id": key[1], "seq": row["seq"], "timestamp_ns": row["timestamp_ns"], **got}
 
 
+class FrontRunProcessor(_Keyed):
+    names = [f.split()[0] for f in PAIRS.split(", ")]
+
+    def fresh(self):
+        return FrontRunState()
+
+    def step(self, state, key, row):
+        rel = row["rel"]
+        return front_run_step(state, {**row, "rel": [] if rel is None else list(rel), "instrument_id": key[0], "side": key[1]})
+
+
+class StatsProcessor(_Keyed):
+    names = [f.split()[0] for f in OUTLIERS.split(", ")]
+
+    def fresh(self):
+        return RunningStats()
+
+    def step(self, state, key, row):
+        return stats_step(state, {**row, "account_id": key[0], "instrument_id": key[1]})
+
+
+def front_running_stream(events: DataFrame, entities: DataFrame) -> DataFrame:
+    ship_package(events.sparkSession)
+    rows = with_relations(events, entities)
+    return rows.groupBy("instrument_id", "side").transformWithStateInPandas(FrontRunProcessor(), PAIRS, "Append", "None")
+
+
+def outlier_stream(events: DataFrame) -> DataFrame:
+    ship_package(events.sparkSession)
+    rows = require_unlabelled(events).filter("status = 'New'").select("account_id", "instrument_id", "seq", "order_id", "qty", "timestamp_ns")
+    return rows.groupBy("account_id", "instrument_id").transformWithStateInPandas(StatsProcessor(), OUTLIERS, "Append", "None")
+
+
 def spoof_stream(events: DataFrame) -> DataFrame:
     """Scored cancels of a stream (or a table) of events with seq; state is kept for each instrument."""
     ship_package(events.sparkSession)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tapewatch.functions.schemas import ENTITY
-from tapewatch.operators import anomaly, detectors, relations
+from tapewatch.operators import anomaly, detectors, keyed, relations
 
 S = 1_000_000_000
 EXEC = "trade_id string, order_id string, account_id string, counterparty_account_id string, instrument_id string, side string, price double, qty bigint, timestamp_ns bigint, is_exec int, idx bigint"
@@ -110,3 +110,24 @@ def test_isolation_forest(spark):
     assert [r.account_ids for r in anomaly.anomaly_alerts(anomaly.score_features(df), 0.5).collect()] == [["B"]]
     arr = spark.createDataFrame([({"total_qty": 3.0, "other": 9.0},)], "m map<string,double>").select(anomaly.feature_array(__import__("pyspark").sql.functions.col("m")).alias("a")).first().a
     assert arr == [0.0, 3.0, 0.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize(("rows", "want"), [
+    ([("C1", "CLIENT", 1000, 5), ("R1", "RELATED", 150, 1), ("C2", "CLIENT", 1000, 1.1), ("R2", "RELATED", 150, 1.5)], ["C2>R2"]),
+    ([("C1", "CLIENT", 1000, 1.1), ("R1", "RELATED", 150, 1.0), ("R2", "RELATED", 150, 1.5)], ["C1>R2"]),
+    ([("C1", "CLIENT", 1000, 1), ("C2", "CLIENT", 1500, 1.2), ("R1", "RELATED", 150, 1.5)], ["C1>R1", "C2>R1"]),
+    ([("C1", "CLIENT", 1000, 5), ("R1", "RELATED", 150, 1)], []),
+])
+def test_front_running_when_time_goes_back(rows, want):
+    rel = {"CLIENT": ["k"], "RELATED": ["k"]}
+    state, got = keyed.FrontRunState(), []
+    for order, account, qty, t in rows:
+        got += [f"{o}>{order}" for o, *_ in state.add(order, account, rel[account], qty, int(t * S))]
+    assert got == want
+
+
+def test_running_stats():
+    s = keyed.RunningStats()
+    assert [s.add(q) for q in (100, 200, 100, 200, 100)] == [None] * 5
+    assert (s.mean, round(s.m2 / (s.n - 1), 6)) == (140.0, 3000.0)
+    assert s.add(500)["score"] == 1.0 and s.add(150) is None

@@ -1,7 +1,7 @@
 """Streams give what the batch operators give."""
 
 from tapewatch.functions.storage import keep
-from tapewatch.operators import anomaly, book, detectors
+from tapewatch.operators import anomaly, book, detectors, keyed
 from tapewatch.plans import surveillance
 from tapewatch.sources import adapter
 from tapewatch.streaming import live
@@ -9,11 +9,13 @@ from tapewatch.streaming import live
 
 def test_streams_equal_batch(spark, sf, tmp_path):
     events = keep(surveillance.sequenced(spark, sf))
-    source = str(tmp_path / "events")
+    source, ents = str(tmp_path / "events"), keep(adapter.entities(spark, sf))
     for k in range(3):  # files whose seq ranges follow one another
         events.filter(f"seq % 3 >= 0 and floor((seq - 1) * 3 / {events.count()}) = {k}").coalesce(1).write.mode("append").parquet(f"{source}/part{k}")
     for name, stream, batch, keys in (
         ("spoof", live.spoof_stream, book.replay(events, "scores"), ["seq", "score", "evidence"]),
+        ("front", lambda e: live.front_running_stream(e, ents), keyed.front_running_pairs(events, ents), ["seq", "prior_order", "order_id"]),
+        ("stats", live.outlier_stream, keyed.outliers(events), ["seq", "order_id", "z", "n"]),
         ("flow", live.feature_stream, anomaly.flow_features(events), ["account_id", "seq", "order_count", "total_qty"]),
     ):
         got, seen = [], []
