@@ -138,7 +138,7 @@ def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = near_duplicates(docs, id_col, text_col, shingle, distance)
     first = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    named = docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).select(*(F.col(f"`{c}`") for c in docs.columns))
     nameless = docs.filter(F.col(id_col).isNull())
     if not nameless.limit(1).count():
         return named
