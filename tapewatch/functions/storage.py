@@ -40,3 +40,17 @@ def numbered(df: DataFrame, order: list, name: str, start: int = 1) -> DataFrame
     rows = sorted_rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(parts), "_part")
     number = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + start
     return rows.withColumn(name, number.cast("long")).drop("_part", "_at", "_base")
+
+
+def running_total(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows up to each one in the given order; no task holds all rows.
+
+    Rows are range-sorted and written; each partition adds to its own running sum the sums of those before it.
+    """
+    sorted_rows = keep(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    parts = sorted_rows.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # one row a partition
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sorted_rows.withColumn("_own", F.sum(value).over(within)).join(F.broadcast(parts), "_part")
+    return rows.withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_at", "_base", "_own")

@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapewatch.functions.storage import running_total
+
 PERCENTS = (10, 25, 50, 75, 90, 99)
 
 
 def nearest_rank(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """n, mean, min, max and p10 to p99 of value by keys, by nearest rank: index round_half_even(p / 100 * (n - 1)).
 
-    Values are counted first; ranks then come from running counts of distinct values, so a group's
-    rows are never sorted together.
+    Values are counted first; their ranks come from a running total over the range-sorted counts, less the
+    total before the group. So neither a group's rows nor its values are gathered in one task.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value) if keys else Window.partitionBy(F.lit(0)).orderBy(value)
-    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumns({"_end": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(every)})
+    ranked = running_total(counts, [*keys, value], "_c", "_all")
+    groups = ranked.groupBy(*keys).agg(F.min(F.col("_all") - F.col("_c")).alias("_start"), F.sum("_c").alias("_n"))
+    ranked = ranked.join(groups, list(keys)) if keys else ranked.join(F.broadcast(groups))  # without keys one row
+    end = F.col("_all") - F.col("_start")
     index = lambda p: F.bround(F.lit(p / 100) * (F.col("_n") - 1)).cast("long")
-    at = lambda p: F.max(F.when((F.col("_end") > index(p)) & (F.col("_end") - F.col("_c") <= index(p)), F.col(value)))
+    at = lambda p: F.max(F.when((end > index(p)) & (end - F.col("_c") <= index(p)), F.col(value)))
     total = F.sum(F.col(value) * F.col("_c")) / F.sum("_c")
     return ranked.groupBy(*keys).agg(F.sum("_c").alias("n"), total.alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *(at(p).alias(f"p{p}") for p in PERCENTS))
 

@@ -168,6 +168,16 @@ def book_trace(spark, sf):
     return book.replay(sequenced(spark, sf), "trace")
 
 
+def ambient_moves(spark, sf):
+    """Changes of the best bid against the last one known, and how many there were in the 30 s up to each event."""
+    so_far = Window.partitionBy("instrument_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    half_minute = Window.partitionBy("instrument_id").orderBy("timestamp_ns").rangeBetween(-30_000_000_000, 0)
+    rows = book_trace(spark, sf).filter("not skipped").withColumn("known", F.last("best_bid", ignorenulls=True).over(so_far))
+    rows = rows.withColumn("before", F.lag("known").over(Window.partitionBy("instrument_id").orderBy("seq")))
+    rows = rows.withColumn("moved", F.coalesce(F.col("best_bid") != F.col("before"), F.lit(False)))
+    return rows.select("instrument_id", "seq", "best_bid", "moved", F.sum(F.col("moved").cast("long")).over(half_minute).alias("moves_30s"))
+
+
 def book_snapshots(spark, sf):
     return book.replay(sequenced(spark, sf), "snapshots")
 
@@ -257,7 +267,7 @@ A7 = " SELECT alert_id, detector_name, instrument_id, window_start_ns, window_en
 
 QUERIES = {f.__name__: f for f in (
     zscore_alerts, wash_trades, front_running, mtc_alerts, mtc_group_share, related_pairs, account_components, book_level_qty, book_best_price,
-    book_depth_cumulative, queue_position, level_trace, concurrent_orders, book_trace, book_snapshots, front_running_stateful, zscore_stateful, spoof_scores, spoof_alerts, recent_events,
+    book_depth_cumulative, queue_position, level_trace, concurrent_orders, book_trace, ambient_moves, book_snapshots, front_running_stateful, zscore_stateful, spoof_scores, spoof_alerts, recent_events,
     book_events, event_sequence, drop_oldest, strip_labels, execution_sides, distinct_instruments,
 )} | {"all_alerts": all_alerts_flat}
 ORACLE = {
