@@ -54,6 +54,12 @@ def unplanes(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def narrow(x: np.ndarray) -> tuple[bytes, int]:
+    """planes of x in the narrowest unsigned type that holds it, and that type's bytes."""
+    kind = np.min_scalar_type(x.max(initial=0))
+    return planes(x.astype(kind)), kind.itemsize
+
+
 def slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, start, end) of the runs of sorted keys that fall into each of equal key ranges."""
     of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -163,14 +169,14 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
         held = [np.cumsum(unplanes(k, np.uint64), dtype=np.uint64) for k in group["keys"].to_pylist()]
         counts = [unplanes(c, np.uint32) for c in group["counts"].to_pylist()]
         distinct, inverse = np.unique(np.concatenate(held), return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.uint32)
+        sums = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.uint64)
         ends = np.cumsum([len(k) for k in held])
-        back = [planes(sums[inverse[e - len(k) : e]]) for k, e in zip(held, ends)]
+        back, widths = zip(*(narrow(sums[inverse[e - len(k) : e]]) for k, e in zip(held, ends)))
         first = [1] + [0] * (len(back) - 1)
-        return pa.table([group["block"], group["ord"], group["bucket"], pa.array(back, pa.binary()), pa.array([int((sums > 0).sum()) * f for f in first], pa.int64()), pa.array([int(sums.sum(dtype=np.int64)) * f for f in first], pa.int64())], names=["block", "ord", "bucket", "totals", "types", "tokens"])
+        return pa.table([group["block"], group["ord"], group["bucket"], pa.array(back, pa.binary()), pa.array(widths, pa.int32()), pa.array([int((sums > 0).sum()) * f for f in first], pa.int64()), pa.array([int(sums.sum(dtype=np.int64)) * f for f in first], pa.int64())], names=["block", "ord", "bucket", "totals", "width", "types", "tokens"])
 
     counted = rows.drop("id").mapInArrow(count, "block bigint, ord int, bucket int, keys binary, counts binary")
-    totals = counted.groupBy("ord", "bucket").applyInArrow(total, "block bigint, ord int, bucket int, totals binary, types bigint, tokens bigint")
+    totals = counted.groupBy("ord", "bucket").applyInArrow(total, "block bigint, ord int, bucket int, totals binary, width int, types bigint, tokens bigint")
     totals = keep(totals)
     known = totals.filter("ord = 1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     v, n = int(known[0]), int(known[1])
@@ -178,8 +184,8 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     def score(texts: pa.Table, sums: pa.Table) -> pa.Table:
         order = np.lexsort((sums["bucket"].to_numpy(), sums["ord"].to_numpy()))
         parts: dict[int, list[np.ndarray]] = {}
-        for o, t in zip(sums["ord"].take(order).to_pylist(), sums["totals"].take(order).to_pylist()):
-            parts.setdefault(o, []).append(unplanes(t, np.uint32))
+        for o, t, width in zip(*(sums[c].take(order).to_pylist() for c in ("ord", "totals", "width"))):
+            parts.setdefault(o, []).append(unplanes(t, f"u{width}"))
         got = traverse(texts["text"].to_pylist(), {o: np.concatenate(p) for o, p in parts.items()}, n, v, mass)
         cols = [pa.array(x.astype(np.int64), pa.int64()) for x in got[:2]] + [pa.array(x, pa.float64()) for x in got[2:]]
         return pa.table([texts["id"], texts["learn"], *cols], names=["id", "learned", "n_tokens", "n_known", "base_score", "score"])
@@ -187,7 +193,7 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     # The texts of a block come in row order: its distinct keys, and so the totals, don't depend on it,
     # but the token before the first one of a text must be the end of a text, which it is in any order.
     tagged = rows.mapInArrow(tag, f"block bigint, learn boolean, text binary, id {kind}")
-    scored = tagged.groupBy("block").cogroup(totals.select("block", "ord", "bucket", "totals").groupBy("block"))
+    scored = tagged.groupBy("block").cogroup(totals.select("block", "ord", "bucket", "totals", "width").groupBy("block"))
     out = scored.applyInArrow(score, f"id {kind}, learned boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "learned", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -128,6 +128,13 @@ def test_language_model_cases(spark):
     assert language_model.score_texts(documents(spark, []), F.lit(True)).count() == 0
 
 
+def test_totals_beyond_32_bits():
+    for most in (0, 255, 256, 70_000, 2**32 - 1, 2**32, 2**50):
+        x = np.array([0, 1, most], np.uint64)
+        packed, width = language_model.narrow(x)
+        assert language_model.unplanes(packed, f"u{width}").tolist() == x.tolist()
+
+
 def test_arcs_of_a_state_add_up_to_one():
     texts = [b"a b a c", b"b a", b"c"]
     model = {i: s for i, *_, s in brute_model(list(enumerate(texts)) and [(str(i), t.decode()) for i, t in enumerate(texts)], [True] * 3)}
