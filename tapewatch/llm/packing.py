@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,36 @@ from pyspark.sql.window import Window
 from tapewatch.llm.common import keep
 from tapewatch.llm.token_counts import _tokenizer
 
-#: Words whose ids a Python worker remembers, and bytes of text encoded at a time.
-MEMO_WORDS, CHUNK_BYTES = 800_000, 1 << 22
+#: Words whose ids a Python worker remembers, bytes of text encoded at a time, and new words put to the tokenizer as one text.
+MEMO_WORDS, CHUNK_BYTES, JOINED = 800_000, 1 << 22, 64
 #: Punctuation that a word may end with.
 TAIL = b".,!%$#&*|"
 
 _memo: dict[str, dict[bytes, bytes]] = {}
 
 
+@lru_cache(maxsize=2)
+def word_ends(path: str) -> np.ndarray:
+    """For each id, whether its token ends a word."""
+    vocab = _tokenizer(path).get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+    return ends
+
+
+def encode_joined(words: list[str], path: str) -> Iterator[list[bytes] | None]:
+    """The ids of JOINED words at a time, encoded as one text and cut after tokens that end a word.
+
+    Words of letters that normalisation leaves as they are have one such token each; where the
+    numbers of words and ends differ, the answer is None.
+    """
+    groups, ends = [words[i : i + JOINED] for i in range(0, len(words), JOINED)], word_ends(path)
+    for group, e in zip(groups, _tokenizer(path).encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        cuts, raw = [0, *(4 * np.flatnonzero(ends[ids]) + 4).tolist()], ids.tobytes()
+        yield [raw[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(group) + 1 and cuts[-1] == len(raw) else None
+
+
 def encode_texts(texts: list[bytes], path: str, end_id: int = 1) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text and then end_id.
 
@@ -37,9 +61,21 @@ def encode_texts(texts: list[bytes], path: str, end_id: int = 1) -> Iterator[byt
     end, at = np.array([end_id], "<u4").tobytes(), 0
 
     def learn(words: list[bytes]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for word, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+        plain, other = [], []
+        for word in words:
+            s = word.decode("utf-8", "replace")
+            (plain if s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s) else other).append((word, s))
+        for i in range(0, len(plain), 64 * JOINED):
+            part = plain[i : i + 64 * JOINED]
+            for k, found in enumerate(encode_joined([s for _, s in part], path)):
+                group = part[k * JOINED : (k + 1) * JOINED]
+                if found is None:
+                    other += group
+                else:
+                    memo.update(zip([w for w, _ in group], found))
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
+            for (word, _), e in zip(part, tok.encode_batch_fast([s for _, s in part], add_special_tokens=False)):
                 memo[word] = array("I", e.ids).tobytes()
 
     while at < len(texts):
