@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tapewatch.functions.schemas import require_unlabelled
 from tapewatch.functions.storage import ship_package
+from tapewatch.operators import detectors
 from tapewatch.operators.anomaly import FEATURE_ROWS, FlowWindow
 from tapewatch.operators.book import IN, SCORES, Book, SpoofState
 from tapewatch.operators.keyed import OUTLIERS, PAIRS, FrontRunState, RunningStats, front_run_step, stats_step, with_relations
@@ -140,6 +141,28 @@ def volumes_stream(events: DataFrame, window: str = "1 minute", late: str = "10
     return rows.withWatermark("event_time", late).groupBy(F.window("event_time", window), "instrument_id").agg(F.sum("qty").alias("volume"), F.count(F.lit(1)).alias("n_trades"))
 
 
+def closing_sink(entities: DataFrame, close: DataFrame, folder: str, window_ns: int = 300_000_000_000) -> Callable[[DataFrame, int], None]:
+    """A sink for drain that writes alerts of marking the close to folder/alerts.
+
+    The executions of the closing windows (the last minutes of a session) are kept in folder by
+    micro-batch, and those so far are checked again with each one. A group's first check never
+    changes later, so an alert is new if the execution that fired it came in this micro-batch; and one that
+    runs again overwrites its own rows. Time may not go back from one micro-batch to the next.
+    """
+    ends = close.select(F.col("instrument_id").alias("_i"), "session_close_ns")
+    inside = (F.col("instrument_id") == F.col("_i")) & F.col("timestamp_ns").between(F.col("session_close_ns") - window_ns, F.col("session_close_ns"))
+
+    def sink(batch: DataFrame, number: int) -> None:
+        rows = require_unlabelled(batch).filter("kind = 'execution'").join(ends, inside, "left_semi")
+        rows.write.mode("overwrite").parquet(f"{folder}/executions/batch={number}")
+        kept = batch.sparkSession.read.parquet(f"{folder}/executions")
+        found = detectors.marking_the_close(kept.filter(F.col("batch") <= number).drop("batch"), entities, close, window_ns)
+        fired = kept.filter(F.col("batch") == number).select("instrument_id", *detectors.ORDER_COLS)
+        found.join(fired, fired.columns, "left_semi").write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}")
+
+    return sink
+
+
 def drain(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
     """Run a stream over all that its source has now, giving each micro-batch to every sink, then stop."""
 
