@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +23,28 @@ def uniform(*parts: Column) -> Column:
     return digits.cast("long") / float(16**DIGITS)
 
 
-def poisson_cdf(rate: Column, longest: int) -> Column:
-    """Array of P(X <= k) for k from 0 to longest."""
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
-    step = lambda s, k: F.struct((s["p"] * rate / k).alias("p"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + s["p"] * rate / k)).alias("cdf"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(longest)), start, step, lambda s: s["cdf"])
+def poisson_counts(rates: DataFrame) -> DataFrame:
+    """rates with _from and _cdf: P(X <= k) for k from _from on, as far as hashed uniforms tell them apart.
+
+    The mass at k is exp(k ln rate - rate - ln k!), which no rate underflows near its mode. Each
+    row's range is its own: 9 standard deviations and 25 to both sides of its rate, so a large
+    rate doesn't lengthen the arrays of the others.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts, cdfs = [], []
+            for rate in b.column(1).to_pylist():
+                reach = 9 * rate**0.5 + 25
+                k = np.arange(max(0, int(rate - reach)), int(rate + reach) + 1)
+                starts.append(int(k[0]))
+                if rate <= 0:
+                    cdfs.append([1.0])
+                    continue
+                logs = np.log(np.maximum(np.arange(k[0] + 1, k[-1] + 1), 1)).cumsum() + math.lgamma(k[0] + 1)
+                cdfs.append(np.exp(k * math.log(rate) - rate - np.concatenate([[math.lgamma(k[0] + 1)], logs])).cumsum().tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int64()), pa.array(cdfs, pa.list_(pa.float64()))], names=["_source", "_rate", "_from", "_cdf"])
+
+    return rates.select("_source", F.col("rate").alias("_rate")).mapInArrow(run, "_source string, _rate double, _from bigint, _cdf array<double>")
 
 
 def source_rates(docs: DataFrame, source_col: str = "source", targets: dict[str, float] | None = None, flatten: float = FLATTEN, total: float = 1.0) -> DataFrame:
@@ -57,15 +79,12 @@ def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     ones are kept under their names, and the new ones are then left out.
     """
     rates = keep(source_rates(docs, source_col, targets, flatten, total))
-    # Beyond this the Poisson tail is below the resolution of the uniform numbers.
-    top = rates.agg(F.max("rate")).first()[0] or 0.0
-    longest = int(top + 9 * top**0.5 + 25)
-    cdfs = rates.select("_source", F.col("rate").alias("_rate"), poisson_cdf(F.col("rate"), longest).alias("_cdf"))
+    cdfs = poisson_counts(rates)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     keyed = docs.withColumns({"_source": source, "_u": uniform(F.lit(seed), F.col(id_col), source)})
-    # One row a source, a few hundred bytes: broadcast while sources are few, else joined by Spark's choice.
+    # One row a source, 8 bytes for each count within reach of its rate: broadcast while sources are few, else joined by Spark's choice.
     met = keyed.join(F.broadcast(cdfs) if rates.count() <= 10_000 else cdfs, "_source")
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
+    count = F.col("_from") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     copies = met.withColumn("_count", count).filter("_count > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _count)")))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
     new = {"copy_no": F.col("_copy").cast("long"), "shuffle_key": key, "rate": F.col("_rate")}

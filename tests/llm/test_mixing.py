@@ -47,3 +47,23 @@ def test_cases(spark):
     assert out.count() == sum(brute_count(i, s or "", rate[s or ""]) for i, _, _, s in TEXTS)
     assert mixing.poisson_mix(documents(spark, [])).count() == 0
     assert mixing.poisson_mix(docs, targets={"nobody": 1.0}).count() == 0
+
+
+def test_large_rates(spark):
+    """A rate of 2000 beside small ones, against exact fractions of the masses around the mode."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    rows = [(i, "x", "en", "rare" if i < 3 else "big") for i in range(3000)]
+    got = Counter(r.doc_id for r in mixing.poisson_mix(documents(spark, rows), targets={"rare": 2.0, "big": 1.0}, total=3.0).collect())
+    for i in range(3000):
+        rate = 2000 if i < 3 else Decimal(3000) / 2997
+        text = f"mix|{i}|{'rare' if i < 3 else 'big'}"
+        u = Decimal(int(hashlib.md5(text.encode()).hexdigest()[: mixing.DIGITS], 16)) / 16**mixing.DIGITS
+        k, p = 0, (-Decimal(rate)).exp()
+        cdf = p
+        while cdf <= u:
+            k += 1
+            p *= rate / Decimal(k)
+            cdf += p
+        assert got[i] == k, i
