@@ -17,10 +17,24 @@ from tapewatch.llm.common import doc_fold
 FIT_DOCS = 3000
 #: Characters counted by class, and the number of measures of a line.
 CLASSES = (b"#*$%&<>", b"|", b"!", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789")
-N_LINE = len(CLASSES) + 8
+N_LINE = len(CLASSES) + 9
+#: Words of a window in which repeated words are counted, so that a line's length doesn't move their share.
+REPEAT_WORDS = 200
 STEPS, RATE, DECAY = 120, 0.1, 1e-3
 
 
+def repeated_shares(words: list[bytes]) -> tuple[float, float]:
+    """Mean (by words) and largest share of repeated words over consecutive windows; the last REPEAT_WORDS end the line."""
+    n = len(words)
+    if n <= REPEAT_WORDS:
+        share = 1 - len(set(words)) / n
+        return share, share
+    starts = [*range(0, n - REPEAT_WORDS, REPEAT_WORDS), n - REPEAT_WORDS]
+    shares = [1 - len(set(words[a : a + REPEAT_WORDS])) / REPEAT_WORDS for a in starts]
+    last = (n - 1) % REPEAT_WORDS + 1  # words that only the last window holds
+    return (sum(shares[:-1]) * REPEAT_WORDS + shares[-1] * last) / n, max(shares)
+
+
 def line_measures(text: str | None) -> tuple[list[list[float]], list[int]]:
     """Measures and length of every line that holds a word."""
     rows, sizes, seen, last = [], [], set(), None
@@ -32,8 +46,7 @@ def line_measures(text: str | None) -> tuple[list[list[float]], list[int]]:
         n, size = len(words), len(raw)
         row = [(size - len(raw.translate(None, c))) / size for c in CLASSES]
         repeats = sum(map(eq, words, words[1:]))
-        long = min(n, 200)
-        row += [1 - len(set(words[:200])) / long, repeats / n, min(size / n, 40) / 10, 1.0 if n <= 3 else 0.0, 1.0 if n >= 400 else 0.0, 1.0 if line in seen else 0.0, 1.0 if line == last else 0.0, 1.0]
+        row += [*repeated_shares(words), repeats / n, min(size / n, 40) / 10, 1.0 if n <= 3 else 0.0, 1.0 if n >= 400 else 0.0, 1.0 if line in seen else 0.0, 1.0 if line == last else 0.0, 1.0]
         seen.add(line)
         last = line
         rows.append(row)

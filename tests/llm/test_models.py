@@ -43,6 +43,18 @@ def test_crf_cases(spark):
     assert 0 <= line_crf.score_documents(documents(spark), line_crf.fit([])).first().score <= 1
 
 
+def test_repetition_after_a_clean_opening_is_measured():
+    clean = [f"w{i}" for i in range(200)]
+    loop = "one two three four five".split() * 400
+    (opening,), _ = line_crf.line_measures(" ".join(clean))
+    (long,), _ = line_crf.line_measures(" ".join(clean + loop))
+    (late,), _ = line_crf.line_measures(" ".join([f"w{i}" for i in range(5000)] + loop[:200]))
+    at = len(line_crf.CLASSES)
+    assert opening[at : at + 2] == [0, 0]
+    assert long[at] == pytest.approx(0.975 * 2000 / 2200) and long[at + 1] == pytest.approx(0.975)
+    assert late[at] == pytest.approx(0.975 * 200 / 5200) and late[at + 1] == pytest.approx(0.975)
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     model = line_crf.Model(rng.normal(size=4), rng.normal(size=(2, 2)))
