@@ -115,6 +115,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id never names a component unless it has no other. Repeated rows each give a row, an
     empty table none, and further columns are not read.
     """
+    return _classes(docs, id_col, text_col, shingle, distance).drop("label")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:
+    """near_duplicates, and label: a number of the component's own, also where two share their smallest id."""
     rows = keep(fingerprints(docs, id_col, text_col, shingle))
     nodes = keep(rows.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n_rows")))
     total, n = nodes.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.count(F.lit(1))).first()
@@ -125,20 +130,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").join(links, "fp", "left")
     known = known.select("fp", "rep", "n_rows", F.coalesce("label", "fp").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     smallest = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    values = keep(known.join(smallest, "label").select("fp", "n_rows", "component_id", "n_links"))
+    values = keep(known.join(smallest, "label").select("fp", "n_rows", "component_id", "n_links", "label"))
     out = join_small_keys(rows, values, "fp", "n_rows", total)
-    return out.select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return out.select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "label")
 
 
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """The rows of docs, all columns unchanged, with the smallest id of their near-duplicate class.
 
-    Of rows that repeat an id only one stays. Rows with a null id can't be told apart and go,
-    unless no row of their class has an id; then they all stay.
+    Of rows that repeat an id only the smallest stays in each class. Rows with a null id can't be told
+    apart and go, unless no row of their class has an id; then they all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, distance)
-    first = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = _classes(docs, id_col, text_col, shingle, distance)
+    first = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.join(first.filter("_rows = 1"), id_col, "left_semi").select(*columns)
+    again = first.filter("_rows > 1").select(id_col)
+    if again.limit(1).count():
+        rows = docs.join(again, id_col, "left_semi").select(F.struct(*columns).alias("_row"), F.col(f"`{text_col}`"))
+        marked = fingerprints(rows, "_row", text_col, shingle).withColumn("_id", F.col("_row")[id_col])
+        label = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id"), "fp", "label").distinct()
+        named = named.unionByName(marked.join(label, ["_id", "fp"]).groupBy("_id", "label").agg(F.min("_row").alias("_row")).select("_row.*"))
     nameless = docs.filter(F.col(id_col).isNull())
     if not nameless.limit(1).count():
         return named

@@ -74,3 +74,10 @@ def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000, 1001)], "a bigint, b bigint")
     got = {r.node: r.label for r in components.component_labels(pairs).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_unrelated_texts_with_one_id_both_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i * 7}" for i in range(60))
+    rows = [(1, a, "en", "x"), (1, b, "en", "x"), (1, a, "de", "x"), (2, a, "en", "x"), (3, b, "en", "x"), (4, "a third text of its own", "en", "x")]
+    left = simhash.first_of_each_class(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in left) == sorted([(1, a, "de"), (1, b, "en"), (4, "a third text of its own", "en")])
