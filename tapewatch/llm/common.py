@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewatch.functions.storage import keep, ship_package
 
-__all__ = ["keep", "ship_package", "table", "words_of", "let", "doc_fold", "join_small_keys"]
+__all__ = ["keep", "ship_package", "table", "by_bytes", "words_of", "let", "doc_fold", "join_small_keys"]
 
 #: White space of the contracts: space and the ASCII controls tab to carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
@@ -20,6 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about limit bytes of the column's texts each, and a row at least."""
+    for b in batches:
+        sizes, start, held = pa.compute.binary_length(b.column(column)).to_pylist(), 0, 0
+        for i, n in enumerate(sizes):
+            held += n or 0
+            if held >= limit:
+                yield b.slice(start, i + 1 - start)
+                start, held = i + 1, 0
+        if start < len(sizes):
+            yield b.slice(start)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text: runs of anything but SPACE_CLASS; null gives none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS)

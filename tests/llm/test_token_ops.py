@@ -1,5 +1,6 @@
 """Token counts and packing against the libraries on whole texts."""
 
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -67,30 +68,44 @@ def test_op8_query(spark, sf):
     assert n <= least + 1
 
 
-def test_runs_are_best_fit_decreasing():
-    rng = np.random.default_rng(5)
-    for _ in range(40):
-        cap = int(rng.integers(5, 60))
-        lengths = rng.integers(1, cap + 1, int(rng.integers(0, 200))).tolist()
-        gaps = []
-        for x in sorted(lengths, reverse=True):
-            fit = [g for g in gaps if g >= x]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - x)
-            else:
-                gaps.append(cap - x)
-        counts = {x: lengths.count(x) for x in lengths}
-        runs = packing.best_fit_runs(counts, cap)
-        used = defaultdict(list)
-        for length, first, n, per, start, offset in runs:
-            for i in range(n):
-                used[start + i // per].append((offset + i % per * length, length))
-        assert len(used) == len(gaps)
-        assert sum(len(v) for v in used.values()) == len(lengths)
-        for v in used.values():
-            at = 0
-            for offset, length in sorted(v):
-                assert offset == at
-                at += length
-            assert at <= cap
+@pytest.mark.parametrize("case", ["mixed", "halves", "tiny", "one"])
+def test_sweeps_fill_like_best_fit_decreasing(spark, case):
+    rng, cap = np.random.default_rng(5), 64
+    lengths = {"mixed": lambda: rng.integers(1, cap + 1, 900), "halves": lambda: rng.integers(20, 41, 700), "tiny": lambda: rng.integers(1, 4, 3000), "one": lambda: np.full(130, 7)}[case]().tolist()
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= x]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else cap) - x)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lengths)], "i int, length bigint")
+    bins = defaultdict(list)
+    rows = packing.pack_best_fit(df, cap, rows_per_salt=100, block=64).collect()
+    assert sorted(r.i for r in rows) == list(range(len(lengths)))
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert len(bins) <= len(gaps) * 1.02 + 1
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= cap
+
+
+def test_a_sweep_gives_each_gap_the_longest_piece_below_it():
+    out = packing.sweep([(5, False, 0, 2), (9, False, 0, 1), (6, True, 0, 1), (10, True, 1, 2), (4, True, 3, 1)], 10)
+    placed = {(o[1], o[2], o[5], o[6]) for o in out if o[0] == packing.PLACED}
+    assert placed == {(5, 0, 0, 4), (9, 0, 1, 0), (5, 1, 2, 0)}
+    assert sorted(o[1:4] for o in out if o[0] == packing.GAP) == [(1, 0, 1), (1, 1, 1), (4, 3, 1), (5, 2, 1)]
+
+
+def test_ids_equal_whole_text_encoding_for_letters_that_normalisation_changes():
+    tok, rng = Tokenizer.from_file(WORDS), np.random.default_rng(8)
+    odd = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha() and (len(chr(c).lower()) > 1 or len(unicodedata.normalize("NFC", chr(c))) > 1)]
+    texts = [f"x{c}. {c}, a{c}b!" for c in odd]
+    letters = [*"abcXYZ", "\u00e9", "e\u0301", "\u00df", "\u0130", "\u03a3", "\u0958", "\u4e2d", "1", "'s", "\u200b", "\u00a0", *odd]
+    texts += ["".join(rng.choice([*letters, " ", ".", ",", "!", "###", "|", "\n"]) for _ in range(20)) for _ in range(4000)]
+    assert len(odd) > 50
+    for text, raw in zip(texts, packing.encode_texts([t.encode() for t in texts], WORDS)):
+        assert np.frombuffer(raw, "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1], text
