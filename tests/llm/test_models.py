@@ -94,20 +94,36 @@ def test_gradient_is_that_of_the_likelihood():
 UP = {c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
-def brute_model(docs, learn, mass=language_model.MASS):
+def brute_model(docs, learn, masses=language_model.MASSES):
+    """Walks an automaton of dictionaries token by token: states are tuples of tokens, None is the end of a text."""
     split = lambda t: [*re.findall("[^\x20\x09-\x0d]+", "".join(UP.get(c, c) for c in t or "")), None]
-    one, two = Counter(), Counter()
+    arcs, visits = Counter(), Counter()
     for (_, t), ok in zip(docs, learn):
         if ok:
-            w = split(t)
-            one.update(w)
-            two.update(zip([None, *w], w))
-    n, v, out = sum(one.values()), len(one), []
+            w = [None, *split(t)]
+            for i in range(1, len(w)):
+                for k in range(min(i, language_model.ORDER - 1) + 1):
+                    arcs[tuple(w[i - k : i]), w[i]] += 1
+                    visits[tuple(w[i - k : i])] += 1
+    n, v, out = visits[()], sum(not s for s, _ in arcs), []
+
+    def weight(state, token):
+        if not state:
+            return (arcs[(), token] + 0.5) / (n + 0.5 * (v + 1))
+        mass = masses[len(state) + 1]
+        low = weight(state[1:], token)
+        if not visits[state]:
+            return low
+        return (arcs[state, token] + mass * low) / (visits[state] + mass)
+
     for (i, t), ok in zip(docs, learn):
-        w = split(t)
-        low = [(one[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
-        arc = [(two[p, x] + mass * q) / (one[p] + mass) for p, x, q in zip([None, *w], w, low)]
-        out.append((str(i), ok, len(w), sum(one[x] > 0 for x in w), n, sum(map(math.log10, low)), sum(map(math.log10, arc))))
+        state, base, score, known = (None,), 0.0, 0.0, 0
+        for token in split(t):
+            known += arcs[(), token] > 0
+            base += math.log10(weight((), token))
+            score += math.log10(weight(state, token))
+            state = (*state, token)[-(language_model.ORDER - 1) :]
+        out.append((str(i), ok, len(split(t)), known, n, base, score))
     return sorted(out)
 
 
@@ -148,13 +164,42 @@ def test_totals_beyond_32_bits():
 
 
 def test_arcs_of_a_state_add_up_to_one():
+    """Over all words, the end and one unknown word."""
     texts = [b"a b a c", b"b a", b"c"]
-    model = {i: s for i, *_, s in brute_model(list(enumerate(texts)) and [(str(i), t.decode()) for i, t in enumerate(texts)], [True] * 3)}
-    assert all(s < 0 for s in model.values())
-    one = Counter("a b a c e b a e c e".split())
-    n, v = sum(one.values()), len(one)
-    low = {w: (one[w] + 0.5) / (n + 0.5 * (v + 1)) for w in [*one, "unknown"]}
-    assert sum(low.values()) == pytest.approx(1)
+    words = [b"a", b"b", b"c", b"unknown"]
+    arcs = brute_arcs(texts)
+    for state in [(), (None,), (b"a",), (b"b", b"a"), (None, b"b"), (b"c", b"c")]:
+        assert sum(arcs(state, w) for w in [*words, None]) == pytest.approx(1)
+
+
+def brute_arcs(texts):
+    seen, visits = Counter(), Counter()
+    for t in texts:
+        w = [None, *t.split(), None]
+        for i in range(1, len(w)):
+            for k in range(min(i, language_model.ORDER - 1) + 1):
+                seen[tuple(w[i - k : i]), w[i]] += 1
+                visits[tuple(w[i - k : i])] += 1
+    v = sum(not s for s, _ in seen)
+
+    def weight(state, token):
+        if not state:
+            return (seen[(), token] + 0.5) / (visits[()] + 0.5 * (v + 1))
+        low = weight(state[1:], token)
+        mass = language_model.MASSES[len(state) + 1]
+        return (seen[state, token] + mass * low) / (visits[state] + mass) if visits[state] else low
+
+    return weight
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    """A learned text that occurs twice scores higher a token than one that occurs once, in four of five such pairs."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    count = Counter(r.text for r in docs.collect() if fold(r.doc_id) != 1)
+    rows = [r for r in queries.op9_language_model(spark, sf).join(docs, "doc_id").collect() if not r.held_out and r.n_tokens > 50]
+    twice, once = ([r.score / r.n_tokens for r in rows if count[r.text] == k] for k in (2, 1))
+    assert twice and np.mean([x > y for x in twice for y in once]) > 0.8
 
 
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/a>b">Home</a></li></ul></nav>
