@@ -42,7 +42,8 @@ FROM u JOIN p ON p.source = u.source AND p.cdf <= u.u"""
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_region.extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_region.extract_pages(pages, html_region.fit_weights(pages))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

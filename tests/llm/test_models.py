@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -208,6 +209,9 @@ PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><header><
 <footer>&copy; us and other words at the end</footer></body></html>"""
 
 
+OWN = html_region.fit(html_region.own_counts())
+
+
 @pytest.mark.parametrize(("body", "want"), [
     ("<article><h1>A &amp; B</h1><p>One  two\n three.<p>Four <b>five</b>.<br>Six</article>", "A & B\n\nOne two three.\n\nFour five. Six"),
     ("<main><h2>Head</h2><p>Some words here</p><div class='ad'>Buy now " + "really " * 40 + "</div><p>Last words &lt;b&gt; &#233;&nbsp;x</p><ul><li>a</li><li>b</li></ul></main>", "Head\n\nSome words here\n\nLast words <b> é x\n\na\n\nb"),
@@ -216,7 +220,39 @@ PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><header><
     ("", ""),
 ])
 def test_main_text(body, want):
-    assert html_region.main_text(PAGE.format(body=body)) == want
+    assert html_region.main_text(PAGE.format(body=body), OWN) == want
+
+
+def plain(page):
+    return page.replace("[[", "").replace("]]", "")
+
+
+def marked(page):
+    return "\n\n".join(" ".join(re.sub("<[^>]*>", "", x).split()) for x in re.findall(r"\[\[(.*?)\]\]", page))
+
+
+def test_labelled_pages_and_what_the_weights_and_the_run_do():
+    pages = html_region.LABELLED_PAGES
+    assert [html_region.main_text(plain(p), OWN) for p in pages] == [marked(p) for p in pages]
+    blind = html_region.Weights(bias=1.0)
+    assert all(html_region.main_text(plain(p), blind) != marked(p) for p in pages[:-2])
+    # Two good paragraphs far apart: only the better one's region is taken, without tag costs both.
+    far = "<p>one two</p>" + "<div></div>" * 60 + "<p>three four five</p>"
+    assert html_region.main_text(far, OWN) == "three four five"
+    free = html_region.Weights(OWN.odds, OWN.bias, dict.fromkeys([*OWN.outside, "div", "p"], -1 / 9))
+    assert html_region.main_text(far, free) == "one two\n\nthree four five"
+
+
+def test_article_text_with_odd_class_names_stays():
+    page = "<nav><a>up</a></nav><article><h1>Head</h1><p class='notice'>a word of it</p><ul class='menu-list'><li>soup</li></ul><div class='social-science'><p>study</p></div><div class='ad'>buy</div></article>"
+    assert html_region.main_text(page, OWN) == "Head\n\na word of it\n\nsoup\n\nstudy"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a b="' * 170_000, "<!" * 500_000, "<script" * 150_000, "<!--" * 250_000, "<a b='x\">" * 110_000])
+def test_time_is_linear_in_the_page(page):
+    began = time.time()
+    html_region.main_text(page, OWN)
+    assert time.time() - began < 5
 
 
 def test_op6_query(spark):
@@ -234,6 +270,7 @@ def test_op6_query(spark):
 
 def test_page_cases(spark):
     rows = [(1, "u", None, "x"), (None, None, "", "x"), (2, "u", "<p>unclosed <b>words", "x"), (2, "u", "<p>unclosed <b>words", "x"), (3, "u", "<!-- never ends <p>a</p>", "x"), (4, "u", "a < b & c <", "x"), (5, "u", "<p>" + "word " * 50_000, "x")]
-    out = html_region.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    out = html_region.extract_pages(pages, html_region.fit_weights(pages)).collect()
     assert sorted((str(r.page_id), r.text[:20], r.n_chars) for r in out) == sorted([("1", "", 0), ("None", "", 0), ("2", "unclosed words", 14), ("2", "unclosed words", 14), ("3", "", 0), ("4", "a < b & c <", 11), ("5", ("word " * 5)[:20], 249_999)])
-    assert html_region.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    assert html_region.extract_pages(pages.limit(0), html_region.fit_weights(pages.limit(0))).count() == 0
