@@ -88,6 +88,45 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS g0, coalesce(source, '') AS g1, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*[^\x20\x09-\x0D][^\n]*') AS lines FROM documents),
+win AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM d)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM win) WHERE n > 1),
+covered AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM twice) GROUP BY rid),
+m AS (
+  SELECT d.rid, doc_id, g0, g1, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN covered ON covered.rid = d.rid),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+v AS (
+  SELECT g0, g1, 'symbols' AS measure, n_symbols * 1000000 // greatest(word_chars, 1) AS v FROM b WHERE NOT base_failed
+  UNION ALL SELECT g0, g1, 'dup_lines', n_dup_lines * 1000000 // greatest(n_lines, 1) FROM b WHERE NOT base_failed
+  UNION ALL SELECT g0, g1, 'word_length', word_chars * 1000 // greatest(n_words, 1) FROM b WHERE NOT base_failed),
+s AS (SELECT *, (v >> greatest(length(bin(v)) - 9, 0)) << greatest(length(bin(v)) - 9, 0) AS bucket FROM v),
+levels AS (SELECT 2 AS level, g0, g1, measure, bucket FROM s UNION ALL SELECT 1, g0, '', measure, bucket FROM s UNION ALL SELECT 0, '', '', measure, bucket FROM s),
+h AS (SELECT level, g0, g1, measure, bucket, count(*) AS n FROM levels GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY level, g0, g1, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, g0, g1, measure) AS all_n FROM h),
+q AS (SELECT level, g0, g1, measure, CAST(max(all_n) AS DOUBLE) AS k, min(bucket) FILTER (upto * 4 >= all_n) AS q1, min(bucket) FILTER (upto * 4 >= all_n * 3) AS q3 FROM r GROUP BY ALL),
+e AS (SELECT *, CAST(q3 + 3.0 * (q3 - q1) AS DOUBLE) AS high, CAST(q1 - 3.0 * (q3 - q1) AS DOUBLE) AS low FROM q),
+f AS (
+  SELECT a.g0, a.measure, (a.k * a.high + 20.0 * z.high) / (a.k + 20.0) AS high, (a.k * a.low + 20.0 * z.low) / (a.k + 20.0) AS low
+  FROM e a JOIN e z ON a.level = 1 AND z.level = 0 AND a.measure = z.measure),
+o AS (
+  SELECT a.g0, a.g1, a.measure, (a.k * a.high + 20.0 * f.high) / (a.k + 20.0) AS high, (a.k * a.low + 20.0 * f.low) / (a.k + 20.0) AS low
+  FROM e a JOIN f ON a.level = 2 AND a.g0 = f.g0 AND a.measure = f.measure),
+l AS (
+  SELECT g0, g1, max(high) FILTER (measure = 'symbols') AS sh, max(high) FILTER (measure = 'dup_lines') AS dh,
+    max(high) FILTER (measure = 'word_length') AS wh, greatest(max(low) FILTER (measure = 'word_length'), 0.0) AS wl FROM o GROUP BY ALL),
+x AS (SELECT b.*, sh * word_chars / 1e6 AS xs, dh * n_lines / 1e6 AS xd, wh * n_words / 1e3 AS xh, wl * n_words / 1e3 AS xl FROM b LEFT JOIN l ON b.g0 = l.g0 AND b.g1 = l.g1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(n_symbols <= xs + 4 * sqrt(xs + 1) AND n_dup_lines <= xd + 4 * sqrt(xd + 1)
+    AND word_chars <= xh + 4 * sqrt(xh + 1) AND word_chars >= xl - 4 * sqrt(xl + 1), true) AS kept
+FROM x"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
@@ -108,4 +147,4 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE = {"op4_mixing": OP4_SQL, "op5_chat": OP5_SQL}
+ORACLE = {"op4_mixing": OP4_SQL, "op5_chat": OP5_SQL, "op7_rules": OP7_SQL}

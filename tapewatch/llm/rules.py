@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tapewatch.llm.common import join_small_keys, keep, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-#: Sketch size; rows that a group's own sketch needs; how far beyond the quartiles a value may lie,
-#: in quartile distances, and the least allowance for each measure.
-SKETCH_K, GROUP_ROWS, FENCE = 800, 100, 3.0
-LEAST = {"symbol_rate": 0.02, "dup_line_rate": 0.5, "mean_word": 4.0}
+#: Binary digits of a sketch's buckets, quartile distances between a quartile and its limit, standard
+#: deviations of a count that its limit allows, and rows' weight of the wider group in a group's limits.
+DIGITS, FENCE, SIGMAS, PRIOR_ROWS = 9, 3.0, 4.0, 20.0
+#: Measures: a count, what it is a rate of, and the parts of a whole that its rate is counted in.
+MEASURES = {"symbols": ("n_symbols", "word_chars", 1_000_000), "dup_lines": ("n_dup_lines", "n_lines", 1_000_000), "word_length": ("word_chars", "n_words", 1000)}
 
 
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
@@ -54,68 +56,111 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    rows = rows.select(id_col, *(f"_g{i}" for i in range(len(groups))), F.col("_w.n_words").alias("n_words"), "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"), F.col("_w.n_repeat_words").alias("n_repeat_words"), F.col("_l.n").alias("_lines"))
-    return rows.withColumns({
-        "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-        "symbol_rate": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("_lines"), F.lit(1)),
-        "mean_word": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
-    })
+    rows = rows.select(
+        id_col, *(f"_g{i}" for i in range(len(groups))), F.col("_w.n_words").alias("n_words"), "word_chars", "n_symbols",
+        F.col("_l.dup").alias("n_dup_lines"), F.col("_w.n_repeat_words").alias("n_repeat_words"), F.col("_l.n").alias("n_lines"),
+    )
+    return rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+
+
+def sketch_bucket(value: Column) -> Column:
+    """The smallest number with the same DIGITS leading binary digits: a whole number's bucket in its sketch."""
+    drop = F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
+
+
+def group_sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, measure, bucket, n: histograms of every measure for each group; sketches merge by adding up n.
+
+    A sketch has 2 ** (DIGITS - 1) buckets at most for each doubling of the value, so it stays
+    small however many rows it counts, its ranks are exact, and its values are at most one part in
+    2 ** (DIGITS - 1) too low.
+    """
+    values = [F.struct(F.lit(m).alias("measure"), F.expr(f"{count} * {unit} div greatest({per}, 1)").alias("v")) for m, (count, per, unit) in MEASURES.items()]
+    rows = measured.filter(~F.col("base_failed")).select(*keys, F.explode(F.array(*values)).alias("m"))
+    return rows.groupBy(*keys, "m.measure", sketch_bucket(F.col("m.v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sketch_limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, measure, rows, high and low: quartiles of each merged sketch, FENCE quartile distances away."""
+    merged = sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    up_to = Window.partitionBy(*keys, "measure").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.withColumn("upto", F.sum("n").over(up_to))
+    whole = Window.partitionBy(*keys, "measure")
+    ranked = ranked.withColumn("rows", F.sum("n").over(whole))
+    at = lambda quarter: F.min(F.when(F.col("upto") * 4 >= F.col("rows") * quarter, F.col("bucket")))
+    out = ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(1).alias("q1"), at(3).alias("q3"))
+    reach = FENCE * (F.col("q3") - F.col("q1"))
+    return out.select(*keys, "measure", "rows", (F.col("q3") + reach).cast("double").alias("high"), (F.col("q1") - reach).cast("double").alias("low"))
 
 
 def adaptive_limits(measured: DataFrame, n_groups: int = 2) -> DataFrame:
-    """Limits of each measure for every group, from sketches that merge.
+    """_g0 ..., _rows and _limit (a struct of each measure's high and low) for every group of measured.
 
-    One sketch per group and measure is taken over the rows that passed the base rules; groups
-    with fewer than GROUP_ROWS such rows use the merged sketch of their first column (the
-    language), or else that of all rows. A limit is a quartile plus FENCE quartile distances, but at
-    least LEAST beyond the quartile.
+    A group's limits come from its own sketch, drawn towards those of the merged sketch of its
+    first column (the language) as if PRIOR_ROWS of the group's rows were from there, and these
+    likewise towards those of all rows. So no limit depends on whether a group is large or small.
     """
     keys = [f"_g{i}" for i in range(n_groups)]
-    fine = measured.filter(~F.col("base_failed"))
-    sketches = keep(fine.groupBy(*keys).agg(*(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in LEAST), F.count(F.lit(1)).alias("_n")))
-    merged = lambda df: df.agg(*(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in LEAST), F.sum("_n").alias("_n"))
-
-    def limits(df: DataFrame, name: str) -> DataFrame:
-        q = lambda m, r: F.kll_sketch_get_quantile_double(F.col(m), F.lit(r))
-        reach = {m: F.greatest(FENCE * (q(m, 0.75) - q(m, 0.25)), F.lit(least)) for m, least in LEAST.items()}
-        ends = [(q(m, 0.75) + reach[m]).alias(f"{m}_high") for m in LEAST] + [(q("mean_word", 0.25) - reach["mean_word"]).alias("mean_word_low")]
-        return df.withColumn(name, F.when(F.col("_n") >= (GROUP_ROWS if df.columns[0] in keys else 1), F.struct(*ends))).drop(*LEAST, "_n")
-
-    own = limits(sketches, "own")
-    first = limits(merged(sketches.groupBy(keys[0])), "first")
-    every = limits(merged(sketches), "every")
+    sketches = keep(group_sketches(measured, keys))
+
+    def drawn(df: DataFrame, wider: DataFrame, on: list[str]) -> DataFrame:
+        wider = wider.select(*on, F.col("high").alias("_high"), F.col("low").alias("_low"))
+        blend = lambda c: ((F.col("rows") * F.col(c) + PRIOR_ROWS * F.col(f"_{c}")) / (F.col("rows") + PRIOR_ROWS)).alias(c)
+        return df.join(wider, on).select(*df.columns[:-2], blend("high"), blend("low"))
+
+    every = sketch_limits(sketches, [])
+    first = drawn(sketch_limits(sketches, keys[:1]), every, ["measure"])
+    own = drawn(sketch_limits(sketches, keys), first, [keys[0], "measure"])
     groups = measured.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    out = groups.join(own, keys, "left").join(first, keys[0], "left").join(F.broadcast(every), how="left")  # every has one row
-    return out.select(*keys, "_rows", F.coalesce("own", "first", "every").alias("_limit"))
+    flat = lambda df, on: df.groupBy(*on).agg(*(F.max(F.when(F.col("measure") == m, F.struct("high", "low"))).alias(m) for m in MEASURES))
+    # A group all of whose rows fail the base rules has no sketch, and needs no limits.
+    return groups.join(flat(own, keys), keys, "left").select(*keys, "_rows", F.struct(*MEASURES).alias("_limit"))
+
+
+def within_limits() -> Column:
+    """Whether no count is further from what its group's limits give for the text's size than chance allows.
+
+    A count expected to be m varies by about sqrt(m), and one that is rare by about 1; so the
+    same limits serve short and long texts.
+    """
+    ok = F.lit(True)
+    for m, (count, per, unit) in MEASURES.items():
+        most = F.col(f"_limit.{m}.high") * F.col(per) / F.lit(float(unit))
+        ok &= F.col(count) <= most + SIGMAS * F.sqrt(most + 1)
+        if m == "word_length":
+            least = F.greatest(F.col(f"_limit.{m}.low"), F.lit(0.0)) * F.col(per) / F.lit(float(unit))
+            ok &= F.col(count) >= least - SIGMAS * F.sqrt(least + 1)
+    return ok
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    Kept rows pass the base rules and stay within their group's adaptive limits on the symbol
-    rate, the rate of repeated lines and the mean word length. Null and empty texts have no words
-    and fail the base rules; a null language or source is a group of its own; null ids and
-    repeated rows each give a row; an empty table gives none; other columns are not read.
+    Kept rows pass the base rules and stay within their group's adaptive limits on symbols,
+    repeated lines and the length of words. Sketches are exact counts, so every run gives the same
+    verdicts. Null and empty texts have no words and fail the base rules; very long texts are
+    measured whole, in one row's arrays; a null language or source is a group of its own; null ids
+    and repeated rows each give a row; an empty table gives none; other columns are not read.
     """
     measured = keep(text_measures(docs, id_col, text_col, groups))
     keys = [f"_g{i}" for i in range(len(groups))]
     limits = adaptive_limits(measured, len(groups)).withColumn("_key", F.struct(*keys)).drop(*keys)
     rows = measured.withColumn("_key", F.struct(*keys))
     met = join_small_keys(rows, keep(limits), "_key", "_rows", measured.count())
-    within = F.coalesce(
-        (F.col("symbol_rate") <= F.col("_limit.symbol_rate_high")) & (F.col("dup_line_rate") <= F.col("_limit.dup_line_rate_high")) & F.col("mean_word").between(F.col("_limit.mean_word_low"), F.col("_limit.mean_word_high")),
-        F.lit(True),
-    )
-    return met.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"))
+    kept = ~F.col("base_failed") & F.coalesce(within_limits(), F.lit(True))
+    return met.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The rows of docs, all columns unchanged, that quality_rules keeps.
 
     Rows with the same id and the same words share their verdict, so rows are matched by id and
-    a hash of the text; a null id matches itself.
+    a hash of the text; a null id matches itself. No column name of docs can clash.
     """
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull(), F.coalesce(F.col(text_col).cast("string"), F.lit("")), *(F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups))
-    kept = quality_rules(docs.withColumn("_rule_key", key), "_rule_key", text_col, groups).filter("kept").select("_rule_key").distinct()
-    return docs.withColumn("_rule_key", key).join(kept, "_rule_key", "left_semi").drop("_rule_key")
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    key = F.xxhash64(text(id_col), F.col(f"`{id_col}`").isNull(), text(text_col), *map(text, groups))
+    kept = quality_rules(docs.select(key.alias("_key_of_row"), F.col(f"`{text_col}`").alias("_text"), *(F.col(f"`{g}`").alias(f"_group{i}") for i, g in enumerate(groups))), "_key_of_row", "_text", tuple(f"_group{i}" for i in range(len(groups))))
+    verdict = kept.filter("kept").select(F.col("_key_of_row").alias("key")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    return rows.join(verdict, "key", "left_semi").select("row.*")
