@@ -205,7 +205,8 @@ def best_fit_plan(lengths: DataFrame, capacity: int, ranges: int = RANGES) -> Da
             n_bins += more
         at = F.floor((F.col("size") - 1) * ranges / capacity)
         swept = state.filter(F.col("size") >= least).groupBy(at.alias("range")).applyInArrow(run, schema)
-        state = keep(swept.unionByName(state.filter(F.col("size") < least)))
+        # A few ten thousand rows: as many files as ranges, so that rounds don't add up partitions.
+        state = keep(swept.unionByName(state.filter(F.col("size") < least)).coalesce(RANGES))
         rounds.append(state.filter(is_placed))
         longest, done = total(state, ~is_gap, F.max(F.when(is_piece, F.col("size"))), F.count(F.when(is_placed, 1)))
         state, stuck, ranges = state.filter(~is_placed), ranges == 1 and not done, max(1, ranges // 2)
