@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import doc_fold
+from tapewatch.llm.common import by_bytes, doc_fold
 
 #: Labelled documents that the model is fitted on at most (those with the smallest id hashes).
 FIT_DOCS = 3000
@@ -214,8 +214,7 @@ def filter_documents(docs: DataFrame, model: Model, text_col: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, b.num_rows, 2000):
-                part = b.slice(start, 2000)
+            for part in by_bytes(iter([b]), at):
                 yield part.filter(pa.array(text_scores(part.column(at).to_pylist(), model)[0] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
@@ -232,8 +231,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for part in by_bytes(iter([b]), 1, 1 << 22):
                 scores, lengths, chars = text_scores(part.column(1).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(lengths, pa.int64()), pa.array(chars, pa.float64())], names=["id", "score", "n_lines", "good_chars"])
 

@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapewatch.llm.common import join_small_keys, keep
+from tapewatch.llm.common import by_bytes, join_small_keys, keep
 from tapewatch.operators.components import component_labels
 
 BITS, SEED = 64, 42
@@ -41,12 +42,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id_col and fp (signed long) for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t or b"", shingle) for t in texts], pa.int64())], names=["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint").withColumnRenamed("id", id_col)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def ball(width: int, radius: int) -> list[int]:
@@ -86,34 +88,61 @@ def _choose(n: int, k: int) -> int:
     return out
 
 
-def linked_pairs(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints in column fp that differ in at most distance bits."""
-    plan = segment_plan(max(n, 2), distance)
-
-    def value(shift: int, width: int):
-        return F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+def fingerprint_labels(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
+    """node, label: the components of the distinct fingerprints in fp under links of at most distance differing bits.
 
-    entries = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), value(s, w).alias("v")) for i, (s, w, _) in enumerate(plan)))).alias("e"))
-    entries = entries.select(F.col("fp").alias("b"), "e.seg", "e.v")
+    Each fingerprint enters a table for each segment and probes it with the small Hamming ball around
+    its own segment. First every probe is verified against the smallest fingerprint of its bucket
+    alone, which already joins a class of near copies by a number of links in proportion to its
+    size. Then only pairs that these components leave apart are compared: in a bucket whose most
+    frequent component holds almost all, the others meet all of it, and its own meet the others.
+    No link between different components is lost, and no class is ever paired with itself.
+    """
+    plan = segment_plan(max(n, 2), distance)
+    value = lambda shift, width: F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    segments = F.array(*(F.struct(F.lit(i).alias("seg"), value(s, w).alias("v")) for i, (s, w, _) in enumerate(plan)))
+    entries = keep(fps.select("fp", F.explode(segments).alias("e")).select("fp", "e.seg", "e.v"))
     probes = None
     for i, (s, w, r) in enumerate(plan):
         masks = F.array(*(F.lit(m).cast("long") for m in ball(w, r)))
-        one = fps.select(F.col("fp").alias("a"), F.lit(i).alias("seg"), value(s, w).alias("v0"), F.explode(masks).alias("m"))
-        one = one.select("a", "seg", F.col("v0").bitwiseXOR(F.col("m")).alias("v"))
+        one = fps.select("fp", F.lit(i).alias("seg"), value(s, w).alias("v0"), F.explode(masks).alias("m"))
+        one = one.select("fp", "seg", F.col("v0").bitwiseXOR(F.col("m")).alias("v"))
         probes = one if probes is None else probes.unionByName(one)
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    met = probes.alias("p").join(entries.alias("e"), (F.col("p.seg") == F.col("e.seg")) & (F.col("p.v") == F.col("e.v")) & near)
-    return met.select("a", "b").distinct()
+    buckets = entries.groupBy("seg", "v").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("n"))
+    # A probe that meets nothing but its own entry is not needed again.
+    probes = keep(probes.join(buckets, ["seg", "v"]).filter("n > 1 or first != fp"))
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+    star = keep(probes.filter((F.col("fp") != F.col("first")) & near("fp", "first")).select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct())
+    labels = component_labels(star).withColumnRenamed("node", "fp")
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.join(labels, "fp", "left").select("seg", "v", "fp", F.coalesce("label", "fp").alias("label"))
+
+    probes, entries = keep(named(probes)), keep(named(entries.join(probes.select("seg", "v").distinct(), ["seg", "v"], "left_semi")))
+    counts = probes.unionByName(entries).groupBy("seg", "v", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("seg", "v").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+    mixed = keep(most.filter("labels > 1").select("seg", "v", "most"))
+    probes, entries = probes.join(mixed, ["seg", "v"]), entries.join(mixed, ["seg", "v"])
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        left = a.select("seg", "v", F.col("fp").alias("a"), F.col("label").alias("la"))
+        right = b.select("seg", "v", F.col("fp").alias("b"), F.col("label").alias("lb"))
+        return left.join(right, ["seg", "v"]).filter((F.col("la") != F.col("lb")) & near("a", "b")).select("a", "b")
+
+    own, other = F.col("label") == F.col("most"), F.col("label") != F.col("most")
+    rest = met(probes.filter(other), entries).unionByName(met(probes.filter(own), entries.filter(other)))
+    rest = keep(rest.distinct())
+    return component_labels(star.unionByName(rest)) if rest.limit(1).count() else labels.withColumnRenamed("fp", "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """id_col, fp, fingerprint (hex), component_id (smallest id reachable by links), n_links.
+    """id_col, fp, fingerprint (hex), component_id (smallest id reachable by links).
 
-    Equal fingerprints are one node, so copies are never paired with each other; n_links counts
-    the other fingerprints that a row's fingerprint links to. Null and empty texts have
-    fingerprint 0 and link like any other; rows with a null id are returned and take part, but a
-    null id never names a component unless it has no other. Repeated rows each give a row, an
-    empty table none, and further columns are not read.
+    Equal fingerprints are one node, so copies are never paired with each other. Null and empty
+    texts have fingerprint 0 and link like any other; very long texts are hashed whole, batches
+    being sliced by bytes; rows with a null id are returned and take part, but a null id never
+    names a component unless it has no other. Repeated rows each give a row, an empty table none,
+    and further columns are not read.
     """
     return _classes(docs, id_col, text_col, shingle, distance).drop("label")
 
@@ -123,37 +152,32 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance
     rows = keep(fingerprints(docs, id_col, text_col, shingle))
     nodes = keep(rows.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n_rows")))
     total, n = nodes.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.count(F.lit(1))).first()
-    pairs = keep(linked_pairs(nodes.select("fp"), n, distance))
-    labels = component_labels(pairs)  # node, label: only nodes that have a link
-    both = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
-    links = both.groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    known = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").join(links, "fp", "left")
-    known = known.select("fp", "rep", "n_rows", F.coalesce("label", "fp").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    labels = fingerprint_labels(nodes.select("fp"), n, distance).withColumnRenamed("node", "fp")  # only nodes that have a link
+    known = nodes.join(labels, "fp", "left").select("fp", "rep", "n_rows", F.coalesce("label", "fp").alias("label"))
     smallest = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    values = keep(known.join(smallest, "label").select("fp", "n_rows", "component_id", "n_links", "label"))
+    values = keep(known.join(smallest, "label").select("fp", "n_rows", "component_id", "label"))
     out = join_small_keys(rows, values, "fp", "n_rows", total)
-    return out.select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "label")
+    return out.select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "label")
 
 
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """The rows of docs, all columns unchanged, with the smallest id of their near-duplicate class.
 
     Of rows that repeat an id only the smallest stays in each class. Rows with a null id can't be told
-    apart and go, unless no row of their class has an id; then they all stay.
+    apart and go, unless no row of their class has an id; then they all stay. No column name of docs can clash.
     """
-    found = _classes(docs, id_col, text_col, shingle, distance)
-    first = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.join(first.filter("_rows = 1"), id_col, "left_semi").select(*columns)
-    again = first.filter("_rows > 1").select(id_col)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+    found = _classes(docs, "id", "text", shingle, distance)
+    first = found.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    named = docs.join(first.filter("rows = 1"), "id", "left_semi").select("row")
+    again = first.filter("rows > 1").select("id")
     if again.limit(1).count():
-        rows = docs.join(again, id_col, "left_semi").select(F.struct(*columns).alias("_row"), F.col(f"`{text_col}`"))
-        marked = fingerprints(rows, "_row", text_col, shingle).withColumn("_id", F.col("_row")[id_col])
-        label = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id"), "fp", "label").distinct()
-        named = named.unionByName(marked.join(label, ["_id", "fp"]).groupBy("_id", "label").agg(F.min("_row").alias("_row")).select("_row.*"))
-    nameless = docs.filter(F.col(id_col).isNull())
-    if not nameless.limit(1).count():
-        return named
-    lone = found.filter(F.col("component_id").isNull()).select("fp").distinct()
-    marked = fingerprints(nameless.withColumn("_row", F.struct(*nameless.columns)), "_row", text_col, shingle)
-    return named.unionByName(marked.join(lone, "fp", "left_semi").select("_row.*"))
+        marked = fingerprints(docs.join(again, "id", "left_semi"), "row", "text", shingle).withColumn("id", F.col("row")[id_col])
+        label = found.filter(F.col("id") == F.col("component_id")).select("id", "fp", "label").distinct()
+        named = named.unionByName(marked.join(label, ["id", "fp"]).groupBy("id", "label").agg(F.min("row").alias("row")).select("row"))
+    nameless = docs.filter(F.col("id").isNull())
+    if nameless.limit(1).count():
+        lone = found.filter(F.col("component_id").isNull()).select("fp").distinct()
+        named = named.unionByName(fingerprints(nameless, "row", "text", shingle).join(lone, "fp", "left_semi").select("row"))
+    return named.select("row.*")

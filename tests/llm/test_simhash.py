@@ -4,7 +4,7 @@ import re
 
 import xxhash
 
-from tapewatch.llm import queries, simhash
+from tapewatch.llm import queries, rules, simhash
 from tapewatch.operators import components
 from tests.llm.cases import TEXTS, documents
 
@@ -60,14 +60,41 @@ def test_every_plan_finds_all_pairs(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]
     fps = {b ^ sum(1 << k for k in rng.sample(range(64), d)) for b in base for d in (0, 1, 2, 3, 4, 5)}
-    want = {(a, b) for a in fps for b in fps if bin(a ^ b).count("1") <= 4}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = sorted(fps, key=signed)
+    roots = brute_components(fps)
+    least = {r: min(signed(f) for f, q in zip(fps, roots) if q == r) for r in set(roots)}
+    want = {signed(f): least[r] for f, r in zip(fps, roots) if roots.count(r) > 1}
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp bigint")
-    for n in (2, 10**3, 10**5, 10**7, 10**9):
+    for n in (2, 10**4, 10**7, 10**9):
         plan = simhash.segment_plan(n)
         assert sum(r + 1 for _, _, r in plan) == 5 and sum(w for _, w, _ in plan) == 64
-        got = {(r.a, r.b) for r in simhash.linked_pairs(df, n).collect()}
-        assert got == {(signed(a), signed(b)) for a, b in want if signed(a) < signed(b)}
+        assert {r.node: r.label for r in simhash.fingerprint_labels(df, n).collect()} == want
+
+
+def test_a_large_class_gives_links_in_proportion(spark, monkeypatch):
+    """2,000 fingerprints around one point and 60 around another that is linked to it by a chain of two."""
+    import random
+
+    rng, seen = random.Random(4), []
+    near = lambda c, d: c ^ sum(1 << k for k in rng.sample(range(62), d))
+    fps = {near(0, rng.randint(0, 3)) for _ in range(2000)} | {near(0b1111111, rng.randint(0, 1)) for _ in range(60)} | {near(0x3F0F0F0F0F0F0F0F, 1) for _ in range(40)}
+    real = simhash.component_labels
+    monkeypatch.setattr(simhash, "component_labels", lambda pairs: seen.append(pairs.count()) or real(pairs))
+    got = {r.node: r.label for r in simhash.fingerprint_labels(spark.createDataFrame([(f,) for f in fps], "fp bigint"), len(fps)).collect()}
+    roots = brute_components(sorted(fps))
+    least = {}
+    for f, r in zip(sorted(fps), roots):
+        least.setdefault(r, f)
+    assert got == {f: least[r] for f, r in zip(sorted(fps), roots) if roots.count(r) > 1}
+    assert max(seen) < 12 * len(fps)
+
+
+def test_no_column_name_clashes(spark):
+    docs = documents(spark).selectExpr("*", *(f"'mine' as `{c}`" for c in ("_row", "row", "_rule_key", "key", "_id", "rows", "_text", "a.b")))
+    for left in (simhash.first_of_each_class(docs), rules.filter_documents(docs)):
+        assert left.columns == docs.columns
+        assert all(r["_row"] == r["_rule_key"] == r["key"] == r["a.b"] == "mine" for r in left.collect())
 
 
 def test_components_of_a_long_chain(spark):
