@@ -28,15 +28,37 @@ def unescape(text: Column, pairs=ESCAPES) -> Column:
     return text
 
 
+def without_cycles(nodes: DataFrame) -> DataFrame:
+    """nodes (conv_id, node, up, ...) in which the smallest node of each cycle of replies is a root.
+
+    Pointers are doubled until they span more nodes than any conversation has; a node whose
+    pointer hasn't reached a root by then leads into a cycle, its pointer stands on it, and the
+    smallest node that was passed from there on is the cycle's smallest.
+    """
+    most = nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    hop = nodes.filter("up is not null").select("conv_id", "node", "up", F.least("node", "up").alias("least"))
+    for _ in range(most.bit_length()):
+        far = hop.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("least").alias("least2"))
+        hop = keep(hop.join(far, ["conv_id", "up"]).select("conv_id", "node", F.col("up2").alias("up"), F.least("least", "least2").alias("least")))
+    on_cycle = hop.select("conv_id", F.col("up").alias("node")).distinct()
+    cut = hop.join(on_cycle, ["conv_id", "node"]).select("conv_id", F.col("least").alias("node")).distinct().withColumn("cut", F.lit(True))
+    return nodes.join(cut, ["conv_id", "node"], "left").withColumn("up", F.when(F.col("cut").isNull(), F.col("up"))).drop("cut")
+
+
 def chosen_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     """conv_id, path (leaf), depth, node: the best root-to-leaf paths of each reply tree.
 
     nodes: conv_id, node, parent (null for a root), score. Self-joins double the distance that
     each node's ancestor pointer spans and add up the branch's score, so a tree of depth d needs
     log2(d) of them. Leaves are ranked by their branch's score (ties: the smaller leaf), and the
-    chosen leaves collect their ancestors by the same pointers.
+    chosen leaves collect their ancestors by the same pointers. Replies that go round in a circle
+    start at the circle's smallest node.
     """
-    first = keep(nodes.select("conv_id", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("dist")))
+    first = nodes.select("conv_id", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("dist"))
+    first = keep(first)
+    # Ids that grow along the replies can't make a circle; others are looked at.
+    if first.filter("up >= node").limit(1).count():
+        first = keep(without_cycles(first))
     done, open_, levels = first.filter("up is null"), first.filter("up is not null"), []
     while open_.limit(1).count():  # only nodes whose pointer hasn't reached a root are joined again
         levels.append(open_.select("conv_id", "node", "up"))
@@ -45,7 +67,7 @@ def chosen_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
         moved = keep(moved)
         done, open_ = done.unionByName(moved.filter("up is null")), moved.filter("up is not null")
     step = done
-    inner = nodes.select("conv_id", F.col("parent").alias("node")).filter("node is not null").distinct()
+    inner = first.select("conv_id", F.col("up").alias("node")).filter("node is not null").distinct()
     best = Window.partitionBy("conv_id").orderBy(F.desc("sum"), "node")
     leaves = step.join(inner, ["conv_id", "node"], "left_anti").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= paths)
     found = keep(leaves.select("conv_id", F.col("node").alias("path"), "rank", "node", F.col("dist").alias("depth")))
@@ -61,7 +83,8 @@ def format_reply_trees(nodes: DataFrame, paths: int = 1, loss_role: str = "assis
     nodes: conv_id, node, parent, role, text, score. Each chosen path becomes one conversation:
     for each turn HEAD, the escaped role, SEP, the escaped text, END. loss_spans has the start and
     end (code points) of each escaped text of loss_role. A null role or text is empty; a parent
-    that is not among the conversation's nodes makes its child a root; a null conv_id is a
+    that is not among the conversation's nodes makes its child a root, and so does a circle of replies for its
+    smallest node; a conversation's chosen path is one value, however long its texts; a null conv_id is a
     conversation of its own; rows that repeat a (conv_id, node) are the same node with one of the rows'
     contents; an empty table gives no row; further columns are not read.
     """
@@ -85,7 +108,10 @@ def format_reply_trees(nodes: DataFrame, paths: int = 1, loss_role: str = "assis
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted and turns: an array of role, text and loss parsed from the formatted string."""
+    """conv_id, path, formatted, turns (role, text and loss parsed from the formatted string) and learned.
+
+    learned is all text under the loss mask, read from the formatted string by loss_spans and unescaped.
+    """
     said = F.split("formatted", END)
     said = F.slice(said, 1, F.size(said) - 1)  # nothing follows the last END
 
@@ -94,11 +120,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
         text = s.substr(F.length(role) + (len(HEAD) + len(SEP) + 1), F.length(s))
         return F.struct(unescape(role, ROLE_ESCAPES).alias("role"), unescape(text).alias("text"), loss.alias("loss"))
 
-    return formatted.select("conv_id", "path", "formatted", F.zip_with(said, "turn_loss", parse).alias("turns"))
+    masked = F.transform("loss_spans", lambda s: F.call_function("substring", F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    learned = F.array_join(F.transform(masked, lambda s: unescape(s)), "")
+    return formatted.select("conv_id", "path", "formatted", F.zip_with(said, "turn_loss", parse).alias("turns"), learned.alias("learned"))
 
 
-def turn_chains(conversations: DataFrame) -> DataFrame:
-    """conversations as reply trees in which each row answers the row before it by turn."""
+def turn_trees(conversations: DataFrame) -> DataFrame:
+    """conversations as reply trees: each row answers the row before it by turn.
+
+    Beside the last of two or more rows stands a draft that was not said: an empty reply to the same
+    row, whose score of -1 ranks its branch below the conversation's own.
+    """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = conversations.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("node"))
-    return rows.withColumns({"parent": F.when(F.col("node") > 1, F.col("node") - 1), "score": F.lit(0.0)})
+    rows = conversations.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("node"), F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n"))
+    rows = rows.withColumns({"parent": F.when(F.col("node") > 1, F.col("node") - 1), "score": F.lit(0.0)})
+    drafts = rows.filter("node = n and n > 1").withColumns({"node": F.col("node") + 1, "text": F.lit(""), "score": F.lit(-1.0)})
+    return rows.unionByName(drafts).drop("n")

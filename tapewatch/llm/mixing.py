@@ -54,7 +54,7 @@ def source_rates(docs: DataFrame, source_col: str = "source", targets: dict[str,
     of documents to the power flatten, so that small sources gain. The mixture has total times
     as many documents as docs on average. A source that targets doesn't name has rate 0.
     """
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
     counts = docs.groupBy(source.alias("_source")).agg(F.count(F.lit(1)).alias("n_docs"))
     if targets is None:
         weighed = counts.withColumn("_weight", F.pow(F.col("n_docs").cast("double"), F.lit(flatten)))
@@ -74,22 +74,25 @@ def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     Each document's count is the smallest k whose Poisson cdf at its source's rate exceeds a
     uniform number hashed from seed, id and source; so counts are the same wherever and however often
     a task runs. Rows are exploded by their count and sorted by a hash of seed, id and copy over
-    all partitions. Equal rows get equal counts; a null id or source hashes as an empty text, a
+    all partitions; equal hashes go by the id's text, and rows that repeat an id come in any order. Long
+    texts are moved once and never read. Equal rows get equal counts; a null id or source hashes as an empty text, a
     null source is a source of its own; an empty table gives no row. Columns named like the new
     ones are kept under their names, and the new ones are then left out.
     """
     rates = keep(source_rates(docs, source_col, targets, flatten, total))
     cdfs = poisson_counts(rates)
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_source": source, "_u": uniform(F.lit(seed), F.col(id_col), source)})
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # so that no column's name can clash
+    keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("string").alias("id"), source.alias("_source"), uniform(F.lit(seed), F.col(f"`{id_col}`"), source).alias("u"))
     # One row a source, 8 bytes for each count within reach of its rate: broadcast while sources are few, else joined by Spark's choice.
     met = keyed.join(F.broadcast(cdfs) if rates.count() <= 10_000 else cdfs, "_source")
-    count = F.col("_from") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    copies = met.withColumn("_count", count).filter("_count > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _count)")))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    new = {"copy_no": F.col("_copy").cast("long"), "shuffle_key": key, "rate": F.col("_rate")}
-    out = copies.select(*(F.col(f"`{c}`") for c in docs.columns), *(v.alias(k) for k, v in new.items() if k not in docs.columns), key.alias("_order"))
+    count = F.col("_from") + F.size(F.filter("_cdf", lambda c: c <= F.col("u")))
+    copies = met.withColumn("count", count).filter("count > 0").withColumn("copy", F.explode(F.expr("sequence(1, count)")))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce("id", F.lit("")), F.col("copy").cast("string")).cast("binary")), 1, 15)
+    copies = copies.withColumn("order", F.conv(digits, 16, 10).cast("long"))
     # The keys are uniform on [0, 16 ** 15): equal ranges are equal shares, and no sampling pass is needed.
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = F.least(F.floor(F.col("_order") / float(16**15) * parts), F.lit(parts - 1)).cast("int")
-    return out.repartitionById(parts, part).sortWithinPartitions("_order").drop("_order")
+    part = F.least(F.floor(F.col("order") / float(16**15) * parts), F.lit(parts - 1)).cast("int")
+    mixed = copies.repartitionById(parts, part).sortWithinPartitions("order", "id")
+    new = {"copy_no": F.col("copy").cast("long"), "shuffle_key": F.col("order"), "rate": F.col("_rate")}
+    return mixed.select("row.*", *(v.alias(k) for k, v in new.items() if k not in docs.columns))

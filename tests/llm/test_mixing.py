@@ -67,3 +67,11 @@ def test_large_rates(spark):
             p *= rate / Decimal(k)
             cdf += p
         assert got[i] == k, i
+
+
+def test_no_column_name_clashes(spark):
+    docs = documents(spark).selectExpr("*", *(f"'mine' as `{c}`" for c in ("_source", "_u", "_copy", "_count", "_rate", "_order", "row", "u", "order", "copy", "count", "_cdf", "rate", "a.b")))
+    out = mixing.poisson_mix(docs, total=3.0)
+    assert out.columns == [*docs.columns, "copy_no", "shuffle_key"]
+    rows = out.collect()
+    assert rows and all(r[c] == "mine" for r in rows for c in ("_source", "_u", "_rate", "_order", "order", "rate", "a.b"))

@@ -153,3 +153,20 @@ def test_long_chain(spark):
     df = spark.createDataFrame([(1, i, i - 1 if i else None, "assistant" if i % 2 else "user", f"t{i}", 0.0, "", 0) for i in range(n)], NODES)
     r = chat.format_reply_trees(df).first()
     assert r.formatted == "".join(f"### {'assistant' if i % 2 else 'user'}: t{i}</turn>\n" for i in range(n))
+
+
+def test_circles_of_replies_start_at_their_smallest_node(spark):
+    rows = [(1, 1, 3, "user", "a"), (1, 2, 1, "assistant", "b"), (1, 3, 2, "user", "c"), (1, 4, 2, "assistant", "d"), (1, 5, 4, "user", "e"), (2, 1, 1, "user", "self"), (3, 9, 8, "user", "x"), (3, 8, 9, "user", "y"), (4, 2, None, "user", "late root"), (4, 1, 2, "user", "early")]
+    df = spark.createDataFrame([(*r, 0.0, "", 0) for r in rows], NODES)
+    got = {(r.conv_id, r.path): r.formatted.replace("</turn>\n", "").split("### ")[1:] for r in chat.format_reply_trees(df, paths=3).collect()}
+    assert got == {(1, 3): ["user: a", "assistant: b", "user: c"], (1, 5): ["user: a", "assistant: b", "assistant: d", "user: e"], (2, 1): ["user: self"], (3, 9): ["user: y", "user: x"], (4, 1): ["user: late root", "user: early"]}
+
+
+def test_the_query_ranks_branches_and_reads_the_mask(spark, sf):
+    trees = chat.turn_trees(spark.read.parquet(f"{sf}/conversations.parquet"))
+    out = chat.format_reply_trees(trees, paths=2)
+    both = out.groupBy("conv_id").count().filter("count = 2").count()
+    assert both == trees.filter("score < 0").count() > 0
+    assert out.filter("rank = 2").join(trees.filter("score < 0").selectExpr("conv_id", "node as path"), ["conv_id", "path"]).count() == both
+    for r in chat.read_back(out.filter("rank = 1")).limit(50).collect():
+        assert r.learned == "".join(t.text for t in r.turns if t.loss)
