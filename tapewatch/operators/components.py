@@ -13,7 +13,7 @@ def component_labels(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
 
     Large-star and small-star rounds (Kiveris et al., 2014) end after about the logarithm of the
     longest path. Each minimum is a grouped aggregate joined back to the edges, so that no
-    neighbourhood is ever gathered into one value.
+    neighbourhood is ever gathered into one value. Labels that aren't final after max_rounds are an error.
     """
     edges = keep(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     for _ in range(max_rounds):
@@ -30,6 +30,8 @@ def component_labels(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = keep(small.filter("u != v").distinct())
+    else:
+        raise RuntimeError(f"components are not final after {max_rounds} rounds")
     labels = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
     roots = labels.select(F.col("label").alias("node")).distinct()
     return labels.unionByName(roots.select("node", F.col("node").alias("label")))
