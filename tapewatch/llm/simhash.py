@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,8 @@ from tapewatch.llm.common import by_bytes, join_small_keys, keep
 from tapewatch.operators.components import component_labels
 
 BITS, SEED = 64, 42
+#: Entries of a bucket from which it is joined through its components.
+HOT = 64
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -92,45 +95,49 @@ def fingerprint_labels(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
     """node, label: the components of the distinct fingerprints in fp under links of at most distance differing bits.
 
     Each fingerprint enters a table for each segment and probes it with the small Hamming ball around
-    its own segment. First every probe is verified against the smallest fingerprint of its bucket
-    alone, which already joins a class of near copies by a number of links in proportion to its
-    size. Then only pairs that these components leave apart are compared: in a bucket whose most
-    frequent component holds almost all, the others meet all of it, and its own meet the others.
-    No link between different components is lost, and no class is ever paired with itself.
+    its own segment; whole distances are verified in the join. A bucket of more than HOT entries holds a
+    class of near copies, or a segment that many share. There every probe is first verified
+    against the bucket's smallest fingerprint alone, which joins a class by links in proportion
+    to its size, and then only what these components leave apart is compared: entries outside of
+    the bucket's most frequent component with all probes, and the others with probes outside of it. So
+    no link between different components is lost, and no class is paired with itself.
     """
     plan = segment_plan(max(n, 2), distance)
     value = lambda shift, width: F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
     segments = F.array(*(F.struct(F.lit(i).alias("seg"), value(s, w).alias("v")) for i, (s, w, _) in enumerate(plan)))
-    entries = keep(fps.select("fp", F.explode(segments).alias("e")).select("fp", "e.seg", "e.v"))
-    probes = None
-    for i, (s, w, r) in enumerate(plan):
-        masks = F.array(*(F.lit(m).cast("long") for m in ball(w, r)))
-        one = fps.select("fp", F.lit(i).alias("seg"), value(s, w).alias("v0"), F.explode(masks).alias("m"))
-        one = one.select("fp", "seg", F.col("v0").bitwiseXOR(F.col("m")).alias("v"))
-        probes = one if probes is None else probes.unionByName(one)
-    buckets = entries.groupBy("seg", "v").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("n"))
-    # A probe that meets nothing but its own entry is not needed again.
-    probes = keep(probes.join(buckets, ["seg", "v"]).filter("n > 1 or first != fp"))
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
-    star = keep(probes.filter((F.col("fp") != F.col("first")) & near("fp", "first")).select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct())
-    labels = component_labels(star).withColumnRenamed("node", "fp")
-
-    def named(df: DataFrame) -> DataFrame:
-        return df.join(labels, "fp", "left").select("seg", "v", "fp", F.coalesce("label", "fp").alias("label"))
-
-    probes, entries = keep(named(probes)), keep(named(entries.join(probes.select("seg", "v").distinct(), ["seg", "v"], "left_semi")))
-    counts = probes.unionByName(entries).groupBy("seg", "v", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy("seg", "v").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
-    mixed = keep(most.filter("labels > 1").select("seg", "v", "most"))
-    probes, entries = probes.join(mixed, ["seg", "v"]), entries.join(mixed, ["seg", "v"])
 
-    def met(a: DataFrame, b: DataFrame) -> DataFrame:
-        left = a.select("seg", "v", F.col("fp").alias("a"), F.col("label").alias("la"))
-        right = b.select("seg", "v", F.col("fp").alias("b"), F.col("label").alias("lb"))
-        return left.join(right, ["seg", "v"]).filter((F.col("la") != F.col("lb")) & near("a", "b")).select("a", "b")
-
-    own, other = F.col("label") == F.col("most"), F.col("label") != F.col("most")
-    rest = met(probes.filter(other), entries).unionByName(met(probes.filter(own), entries.filter(other)))
+    def entered(df: DataFrame) -> DataFrame:
+        return df.withColumn("e", F.explode(segments)).select(*df.columns, "e.seg", "e.v")
+
+    def probing(df: DataFrame) -> DataFrame:
+        parts = []
+        for i, (s, w, r) in enumerate(plan):
+            masks = F.array(*(F.lit(m).cast("long") for m in ball(w, r)))
+            one = df.withColumns({"seg": F.lit(i), "v0": value(s, w)}).withColumn("m", F.explode(masks))
+            parts.append(one.select(*df.columns, "seg", F.col("v0").bitwiseXOR(F.col("m")).alias("v")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def met(probes: DataFrame, entries: DataFrame, *more) -> DataFrame:
+        near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("e.fp"))) <= distance
+        on = (F.col("p.seg") == F.col("e.seg")) & (F.col("p.v") == F.col("e.v")) & (F.col("p.fp") != F.col("e.fp")) & near
+        both = probes.alias("p").join(entries.alias("e"), reduce(Column.__and__, more, on))
+        return both.select(F.greatest("p.fp", "e.fp").alias("a"), F.least("p.fp", "e.fp").alias("b"))
+
+    entries = keep(entered(fps.select("fp")))
+    hot = keep(entries.groupBy("seg", "v").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("seg", "v", "first"))
+    if not hot.limit(1).count():
+        return component_labels(keep(met(probing(fps.select("fp")), entries).distinct()))
+    cold = met(probing(fps.select("fp")), entries.join(hot, ["seg", "v"], "left_anti"))
+    star = keep(met(probing(fps.select("fp")), hot.withColumnRenamed("first", "fp")).unionByName(cold).distinct())
+    labels = component_labels(star).withColumnRenamed("node", "fp")
+    named = fps.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    inside = keep(entered(named).join(hot.select("seg", "v"), ["seg", "v"]))
+    counts = inside.groupBy("seg", "v", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("seg", "v").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    inside = inside.join(most, ["seg", "v"])
+    probes = keep(probing(named).join(most, ["seg", "v"]))
+    apart = F.col("p.label") != F.col("e.label")
+    rest = met(probes, inside.filter("label != most"), apart).unionByName(met(probes.filter("label != most"), inside.filter("label = most"), apart))
     rest = keep(rest.distinct())
     return component_labels(star.unionByName(rest)) if rest.limit(1).count() else labels.withColumnRenamed("fp", "node")
 
