@@ -4,26 +4,37 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_PACKAGE = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()  # applications that have the package
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place where the driver has it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    """Send this package's modules to the Python workers of all machines, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped or not _PACKAGE.is_dir():
+        return
+    name = Path(tempfile.mkdtemp(prefix="package")) / f"{_PACKAGE.name}.zip"  # read by the driver alone, which serves it
+    with zipfile.ZipFile(name, "w") as z:
+        for module in sorted(_PACKAGE.rglob("*.py")):
+            z.write(module, module.relative_to(_PACKAGE.parent))
+    sc.addPyFile(str(name))
+    _shipped.add(sc.applicationId)
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write df to the folder that spark.checkpoint.dir names; a temporary one is made only if it is unset."""
+    """Write df to the folder that spark.checkpoint.dir names; on one machine a temporary one is made if it is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint(eager=True)
 
 

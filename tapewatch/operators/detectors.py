@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tapewatch.functions.schemas import require_unlabelled
 from tapewatch.functions.storage import keep
+from tapewatch.operators import anomaly, book
 from tapewatch.operators.relations import account_components, is_related, relation_keys
 
 ORDER_COLS = ("timestamp_ns", "is_exec", "idx")
@@ -19,20 +20,25 @@ def fixed6(x: Column) -> Column:
 
 def alert(name: str, **columns) -> list[Column]:
     """The alert columns; those not given are null."""
-    given = {"detector_name": F.lit(name), "model_version": F.lit(None).cast("string"), **columns}
-    order = ("detector_name", "score", "instrument_id", "account_ids", "order_ids", "window_start_ns", "window_end_ns", "evidence", "model_version")
+    given = {"detector_name": F.lit(name), "model_version": F.lit(None).cast("string"), "book_snapshot_sequence": F.lit(None).cast("long"), **columns}
+    order = ("detector_name", "score", "instrument_id", "account_ids", "order_ids", "window_start_ns", "window_end_ns", "evidence", "model_version", "book_snapshot_sequence")
     return [given[c].alias(c) for c in order]
 
 
+def with_sequence(events: DataFrame) -> DataFrame:
+    """events with sequence, their number in their instrument's book: null where the caller has none."""
+    return events if "sequence" in events.columns else events.withColumn("sequence", F.lit(None).cast("long"))
+
+
 def wash_trades(executions: DataFrame, entities: DataFrame) -> DataFrame:
     """Executions whose two accounts are related; two joins with the account table."""
     require_unlabelled(executions)
     side = lambda p: entities.select(F.col("account_id").alias(f"_{p}"), F.col("owner_id").alias(f"_{p}_owner"), F.col("linked_account_ids").alias(f"_{p}_links"))
-    rows = executions.filter(F.coalesce("counterparty_account_id", F.lit("")) != "")
+    rows = with_sequence(executions).filter(F.coalesce("counterparty_account_id", F.lit("")) != "")
     rows = rows.join(side("a"), F.col("account_id") == F.col("_a"), "left").join(side("b"), F.col("counterparty_account_id") == F.col("_b"), "left")
     hit = rows.filter(is_related(F.col("account_id"), F.col("counterparty_account_id"), F.col("_a_owner"), F.col("_b_owner"), F.col("_a_links"), F.col("_b_links")))
     said = F.concat(F.lit("Execution "), "trade_id", F.lit(" matched account "), "account_id", F.lit(" against related counterparty "), "counterparty_account_id", F.lit(" (same beneficial owner, explicit link, or self-trade)"))
-    return hit.select(*alert("WashTradeDetector", score=F.lit(1.0), instrument_id=F.col("instrument_id"), account_ids=F.array("account_id", "counterparty_account_id"), order_ids=F.array("order_id", "trade_id"), window_start_ns=F.col("timestamp_ns"), window_end_ns=F.col("timestamp_ns"), evidence=said), *ORDER_COLS, F.lit(0).alias("emission"))
+    return hit.select(*alert("WashTradeDetector", score=F.lit(1.0), instrument_id=F.col("instrument_id"), account_ids=F.array("account_id", "counterparty_account_id"), order_ids=F.array("order_id", "trade_id"), window_start_ns=F.col("timestamp_ns"), window_end_ns=F.col("timestamp_ns"), evidence=said, book_snapshot_sequence=F.col("sequence")), *ORDER_COLS, F.lit(0).alias("emission"))
 
 
 def running_stats(new_orders: DataFrame) -> DataFrame:
@@ -44,10 +50,10 @@ def running_stats(new_orders: DataFrame) -> DataFrame:
 def zscore_alerts(new_orders: DataFrame, threshold: float = 3.0, min_samples: int = 5) -> DataFrame:
     """Orders whose quantity lies threshold deviations off the account's earlier mean."""
     require_unlabelled(new_orders)
-    rows = running_stats(new_orders).filter((F.col("n") >= min_samples) & (F.col("sd") > 0)).withColumn("z", (F.col("qty") - F.col("mean")) / F.col("sd"))
+    rows = running_stats(with_sequence(new_orders)).filter((F.col("n") >= min_samples) & (F.col("sd") > 0)).withColumn("z", (F.col("qty") - F.col("mean")) / F.col("sd"))
     hit = rows.filter(F.abs("z") >= threshold)
     said = F.concat(F.lit("order qty="), F.col("qty").cast("string"), F.lit(" z="), fixed6(F.col("z")), F.lit(" against running mean="), fixed6(F.col("mean")), F.lit(" stddev="), fixed6(F.col("sd")), F.lit(" (n="), F.col("n").cast("string"), F.lit(")"))
-    return hit.select(*alert("StatisticalBaselineDetector", score=F.least(F.abs("z") / (2 * threshold), F.lit(1.0)), instrument_id=F.col("instrument_id"), account_ids=F.array("account_id"), order_ids=F.array("order_id"), window_start_ns=F.col("timestamp_ns"), window_end_ns=F.col("timestamp_ns"), evidence=said), *ORDER_COLS, F.lit(0).alias("emission"))
+    return hit.select(*alert("StatisticalBaselineDetector", score=F.least(F.abs("z") / (2 * threshold), F.lit(1.0)), instrument_id=F.col("instrument_id"), account_ids=F.array("account_id"), order_ids=F.array("order_id"), window_start_ns=F.col("timestamp_ns"), window_end_ns=F.col("timestamp_ns"), evidence=said, book_snapshot_sequence=F.col("sequence")), *ORDER_COLS, F.lit(0).alias("emission"))
 
 
 def front_running(new_orders: DataFrame, entities: DataFrame, window_ns: int = 2_000_000_000, large_qty: int = 1000, ratio: float = 0.2) -> DataFrame:
@@ -59,7 +65,7 @@ def front_running(new_orders: DataFrame, entities: DataFrame, window_ns: int = 2
     require_unlabelled(new_orders)
     keys = relation_keys(entities).withColumnRenamed("key", "rel")
     cols = ("order_id", "account_id", "qty", "timestamp_ns", "idx")
-    keyed = new_orders.select("instrument_id", "side", *cols, "is_exec").join(keys, "account_id")
+    keyed = with_sequence(new_orders).select("instrument_id", "side", *cols, "is_exec", "sequence").join(keys, "account_id")
     bucket = F.expr(f"timestamp_ns div {window_ns}")
     prior = keyed.filter(F.col("qty") >= large_qty).select("instrument_id", "side", "rel", bucket.alias("bucket"), *(F.col(c).alias(f"p_{c}") for c in cols))
     small = keyed.withColumn("bucket", F.explode(F.array(bucket, bucket - 1)))
@@ -72,7 +78,7 @@ def front_running(new_orders: DataFrame, entities: DataFrame, window_ns: int = 2
         F.lit("ns after a large same-side order "), "p_order_id", F.lit(" (qty="), F.col("p_qty").cast("string"), F.lit(") from related account "), "p_account_id",
     )
     order = Window.partitionBy("order_id").orderBy("p_timestamp_ns", "p_idx")
-    return met.select(*alert("FrontRunningDetector", score=F.lit(1.0), instrument_id=F.col("instrument_id"), account_ids=F.array("p_account_id", "account_id"), order_ids=F.array("p_order_id", "order_id"), window_start_ns=F.col("p_timestamp_ns"), window_end_ns=F.col("timestamp_ns"), evidence=said), *ORDER_COLS, (F.row_number().over(order) - 1).alias("emission"))
+    return met.select(*alert("FrontRunningDetector", score=F.lit(1.0), instrument_id=F.col("instrument_id"), account_ids=F.array("p_account_id", "account_id"), order_ids=F.array("p_order_id", "order_id"), window_start_ns=F.col("p_timestamp_ns"), window_end_ns=F.col("timestamp_ns"), evidence=said, book_snapshot_sequence=F.col("sequence")), *ORDER_COLS, (F.row_number().over(order) - 1).alias("emission"))
 
 
 def closing_legs(executions: DataFrame, entities: DataFrame, close: DataFrame, window_ns: int = 300_000_000_000) -> DataFrame:
@@ -81,10 +87,10 @@ def closing_legs(executions: DataFrame, entities: DataFrame, close: DataFrame, w
     close has instrument_id and session_close_ns. Each leg gets its account's component, when that
     account was first seen (over all instruments), and the running volumes of its check.
     """
-    rows = executions.join(close, "instrument_id").filter((F.col("timestamp_ns") <= F.col("session_close_ns")) & (F.col("timestamp_ns") >= F.col("session_close_ns") - window_ns))
+    rows = with_sequence(executions).join(close, "instrument_id").filter((F.col("timestamp_ns") <= F.col("session_close_ns")) & (F.col("timestamp_ns") >= F.col("session_close_ns") - window_ns))
     other = (F.coalesce("counterparty_account_id", F.lit("")) != "") & (F.col("counterparty_account_id") != F.col("account_id"))
     accounts = F.when(other, F.array("account_id", "counterparty_account_id")).otherwise(F.array("account_id"))
-    legs = rows.select("instrument_id", "trade_id", "qty", *ORDER_COLS, (F.col("session_close_ns") - window_ns).alias("window_start_ns"), F.posexplode(accounts).alias("leg", "account"))
+    legs = rows.select("instrument_id", "trade_id", "qty", *ORDER_COLS, "sequence", (F.col("session_close_ns") - window_ns).alias("window_start_ns"), F.posexplode(accounts).alias("leg", "account"))
     groups = account_components(entities).withColumnRenamed("account_id", "account")
     legs = legs.join(groups, "account", "left").withColumn("component", F.coalesce("component_id", "account")).drop("component_id")
     at = F.struct("timestamp_ns", "idx", "leg")
@@ -117,7 +123,25 @@ def marking_the_close(executions: DataFrame, entities: DataFrame, close: DataFra
     trades = counted.filter(credited).groupBy("instrument_id", "component").agg(F.transform(F.sort_array(F.collect_list(F.struct("account", "at", "trade_id"))), lambda x: x["trade_id"]).alias("trades"))
     rows = fired.join(members, ["instrument_id", "component"]).join(trades, ["instrument_id", "component"])
     said = F.concat(F.lit("account-group closing-window volume="), F.col("group_qty").cast("string"), F.lit(" / total="), F.col("total_qty").cast("string"), F.lit(" (share="), fixed6(F.col("share")), F.lit(", group_size="), F.size("members").cast("string"), F.lit(")"))
-    return rows.select(*alert("MarkingTheCloseDetector", score=F.least("share", F.lit(1.0)), instrument_id=F.col("instrument_id"), account_ids=F.col("members"), order_ids=F.col("trades"), window_start_ns=F.col("window_start_ns"), window_end_ns=F.col("timestamp_ns"), evidence=said), *ORDER_COLS, F.col("leg").alias("emission"))
+    return rows.select(*alert("MarkingTheCloseDetector", score=F.least("share", F.lit(1.0)), instrument_id=F.col("instrument_id"), account_ids=F.col("members"), order_ids=F.col("trades"), window_start_ns=F.col("window_start_ns"), window_end_ns=F.col("timestamp_ns"), evidence=said, book_snapshot_sequence=F.col("sequence")), *ORDER_COLS, F.col("leg").alias("emission"))
+
+
+def placed(found: DataFrame, events: DataFrame) -> DataFrame:
+    """found (with seq) with the order columns and the sequence of the event that it came from."""
+    return found.join(with_sequence(events).select("seq", *ORDER_COLS, "sequence"), "seq")
+
+
+def spoofing(events: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Alerts of the keyed book and spoofing state over events with seq."""
+    rows = placed(book.replay(events, "scores", threshold).filter("fired"), events)
+    return rows.select(*alert("SpoofingLayeringDetector", score=F.col("score"), instrument_id=F.col("instrument_id"), account_ids=F.array("account_id"), order_ids=F.array("order_id"), window_start_ns=F.col("window_start_ns"), window_end_ns=F.col("window_end_ns"), evidence=F.col("evidence"), book_snapshot_sequence=F.col("book_snapshot_sequence")), *ORDER_COLS, F.lit(0).alias("emission"))
+
+
+def anomalies(events: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Alerts of the isolation forest over the flow windows of events with seq."""
+    found = anomaly.anomaly_alerts(anomaly.score_features(anomaly.flow_features(events)), threshold)
+    rows = placed(found, events)
+    return rows.select(*alert("MlAnomalyDetector", **{c: F.col(c) for c in ("score", "instrument_id", "account_ids", "order_ids", "window_start_ns", "window_end_ns", "evidence", "model_version")}, book_snapshot_sequence=F.col("sequence")), *ORDER_COLS, F.lit(0).alias("emission"))
 
 
 def union_alerts(*parts: DataFrame) -> DataFrame:

@@ -12,64 +12,79 @@ from tapewatch.plans.surveillance import A7, ALERTS, BASE, all_alerts, flat, seq
 from tapewatch.sources import adapter
 
 AL = BASE + ALERTS
+_store: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """The alert table of this application: detection runs once, and the store's queries read what it wrote."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _store:
+        _store[key] = keep(all_alerts(spark, sf))
+    return _store[key]
 
 
 def shown(df: DataFrame, *more) -> DataFrame:
-    return flat(df, "alert_id", *more).drop("order_ids")
+    return flat(df, "alert_id", "book_snapshot_sequence", *more)
 
 
 def alerts_by_account(spark, sf):
-    return shown(store.find_alerts(all_alerts(spark, sf), account="ACC-000003"))
+    return shown(store.find_alerts(stored_alerts(spark, sf), account="ACC-000003"))
 
 
 def alerts_by_detector(spark, sf):
-    return shown(store.find_alerts(all_alerts(spark, sf), detector="FrontRunningDetector"))
+    return shown(store.find_alerts(stored_alerts(spark, sf), detector="FrontRunningDetector"))
 
 
 def alerts_time_range(spark, sf):
-    return shown(store.find_alerts(all_alerts(spark, sf), start_ns=1_704_067_300_000_000_000, end_ns=1_704_067_600_000_000_000))
+    return shown(store.find_alerts(stored_alerts(spark, sf), start_ns=1_704_067_300_000_000_000, end_ns=1_704_067_600_000_000_000))
 
 
 def alerts_recent(spark, sf):
-    return shown(store.recent_alerts(all_alerts(spark, sf)))
+    return shown(store.recent_alerts(stored_alerts(spark, sf)))
 
 
 def alerts_page(spark, sf):
-    return shown(store.alerts_page(all_alerts(spark, sf), 20, 10, detector="StatisticalBaselineDetector"), "total_count")
+    return shown(store.alerts_page(stored_alerts(spark, sf), 20, 10, detector="StatisticalBaselineDetector"), "total_count")
 
 
 def alert_by_id(spark, sf):
-    return shown(store.find_alerts(all_alerts(spark, sf), alert_id=7))
+    return shown(store.find_alerts(stored_alerts(spark, sf), alert_id=7))
 
 
 def alerts_search(spark, sf):
-    return shown(store.search_alerts(all_alerts(spark, sf), "acc-00001"))
+    return shown(store.search_alerts(stored_alerts(spark, sf), "acc-00001"))
 
 
 def alerts_severity(spark, sf):
-    found = all_alerts(spark, sf).withColumn("severity", store.severity(F.round("score", 6)))
+    found = stored_alerts(spark, sf).withColumn("severity", store.severity(F.round("score", 6)))
     return found.groupBy("detector_name", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("max_score"))
 
 
 def alerts_sorted(spark, sf):
     """The hundred best scores, the later alert first among equals."""
-    return shown(all_alerts(spark, sf).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), F.desc("alert_id")).limit(100))
+    return shown(stored_alerts(spark, sf).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), F.desc("alert_id")).limit(100))
 
 
 def timeline_positions(spark, sf):
-    placed = store.timeline(all_alerts(spark, sf))
+    placed = store.timeline(stored_alerts(spark, sf))
     return placed.select("alert_id", "detector_name", F.round("position", 6).alias("position"))
 
 
 def evidence_parsed(spark, sf):
-    rows = all_alerts(spark, sf).filter("detector_name = 'MarkingTheCloseDetector'")
+    rows = stored_alerts(spark, sf).filter("detector_name = 'MarkingTheCloseDetector'")
     fields = rows.withColumn("f", store.parse_evidence(F.col("detector_name"), F.col("evidence")))
     num = lambda k: F.element_at("f", k).cast("long").alias(k)
     return fields.select("alert_id", num("group_qty"), num("total_qty"), num("group_size"), store.percent_text(F.element_at("f", "share").cast("double")).alias("share_text"))
 
 
+def evidence_fields(spark, sf):
+    """Every field of every alert's evidence."""
+    rows = stored_alerts(spark, sf)
+    return rows.select("alert_id", "detector_name", F.explode(store.parse_evidence(F.col("detector_name"), F.col("evidence"))).alias("field", "value"))
+
+
 def evidence_readable(spark, sf):
-    rows = all_alerts(spark, sf).filter("detector_name = 'FrontRunningDetector'")
+    rows = stored_alerts(spark, sf).filter("detector_name = 'FrontRunningDetector'")
     return rows.select("alert_id", store.readable_gap(F.col("evidence")).alias("evidence"))
 
 
@@ -78,7 +93,7 @@ def status_log(spark: SparkSession) -> DataFrame:
 
 
 def case_status(spark, sf):
-    found = store.latest_status(all_alerts(spark, sf), status_log(spark))
+    found = store.latest_status(stored_alerts(spark, sf), status_log(spark))
     return found.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("alert_id").alias("first_alert"))
 
 
@@ -91,9 +106,8 @@ def universes(spark, sf):
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    found = all_alerts(spark, sf).filter("detector_name != 'MarkingTheCloseDetector'")
-    rows = evaluation.outcomes(evaluation.universes(labelled(spark, sf)), found)
-    return rows.filter(F.col("detector_name").isin("WashTradeDetector", "FrontRunningDetector", "StatisticalBaselineDetector"))
+    """The five detectors that name orders or trades; the anomaly detector's windows are measured by ml_sweep."""
+    return evaluation.outcomes(evaluation.universes(labelled(spark, sf)), stored_alerts(spark, sf))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -108,12 +122,12 @@ def threshold_sweep(spark, sf):
     return rounded(evaluation.threshold_sweep(outcomes(spark, sf), [0.0, 0.25, 0.5, 0.75, 1.0]))
 
 
-EVAL = AL + """, ids AS (SELECT DISTINCT 'execution' AS universe, trade_id AS id, event_id % 20 AS k FROM exe UNION ALL SELECT DISTINCT 'new', order_id, event_id % 20 FROM ord),
-sp AS (SELECT * FROM (VALUES ('WashTradeDetector', 'execution', 0), ('FrontRunningDetector', 'new', 3), ('StatisticalBaselineDetector', 'new', -1)) v(detector_name, universe, target)),
+EVAL = AL + """, ids AS (SELECT DISTINCT 'execution' AS universe, trade_id AS id, event_id % 20 AS k FROM exe UNION ALL SELECT DISTINCT 'new', order_id, event_id % 20 FROM ord UNION ALL SELECT DISTINCT 'cancel', order_id, event_id % 20 FROM can),
+spec AS (SELECT * FROM (VALUES ('WashTradeDetector', 'execution', 0), ('SpoofingLayeringDetector', 'cancel', 1), ('MarkingTheCloseDetector', 'execution', 2), ('FrontRunningDetector', 'new', 3), ('StatisticalBaselineDetector', 'new', -1)) v(detector_name, universe, target)),
 fl AS (SELECT detector_name, id, max(score) AS score FROM (
-  SELECT detector_name, score, unnest(string_split(order_ids, ',')) AS id FROM (SELECT detector_name, score, order_ids FROM ws UNION ALL SELECT detector_name, score, order_ids FROM fr UNION ALL SELECT detector_name, score, order_ids FROM zs) a) x GROUP BY 1, 2),
+  SELECT detector_name, score, unnest(string_split(order_ids, ',')) AS id FROM al) x GROUP BY 1, 2),
 oc AS (SELECT s.detector_name, i.id, CASE WHEN s.target = -1 THEN i.k < 4 ELSE i.k = s.target END AS y, coalesce(f.score, -1) AS score
-  FROM ids i JOIN sp s ON i.universe = s.universe LEFT JOIN fl f ON f.detector_name = s.detector_name AND f.id = i.id)"""
+  FROM ids i JOIN spec s ON i.universe = s.universe LEFT JOIN fl f ON f.detector_name = s.detector_name AND f.id = i.id)"""
 MATRIX = """SELECT *, round(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0), 6) AS f1,
   round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM ("""
 
@@ -235,7 +249,7 @@ def ml_scores(spark, sf):
 
 
 def ml_alerts(spark, sf):
-    return anomaly.anomaly_alerts(ml_scores(spark, sf), 0.5).drop("order_ids")
+    return anomaly.anomaly_alerts(ml_scores(spark, sf)).drop("order_ids")
 
 
 def ml_sweep(spark, sf):
@@ -247,7 +261,7 @@ def ml_sweep(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    alerts_by_account, alerts_by_detector, alerts_time_range, alerts_recent, alerts_page, alert_by_id, alerts_search, alerts_severity, alerts_sorted, timeline_positions, evidence_parsed,
+    alerts_by_account, alerts_by_detector, alerts_time_range, alerts_recent, alerts_page, alert_by_id, alerts_search, alerts_severity, alerts_sorted, timeline_positions, evidence_parsed, evidence_fields,
     evidence_readable, case_status, universes, confusion_matrix, threshold_sweep, mtc_collisions, abuse_windows, size_percentiles, size_percentiles_rollup, spread_percentiles,
     implausible_spreads, consecutive_price_moves, top_price_jumps, qtr_percentiles, arrival_rate, crosstab_codes, zero_size_rate, zero_size_matches, quote_pull, ml_features, ml_scores, ml_alerts, ml_sweep,
 )}
@@ -263,6 +277,22 @@ ORACLE = {
     "alerts_severity": AL + " SELECT detector_name, CASE WHEN score >= 0.85 THEN 'Critical' WHEN score >= 0.65 THEN 'Serious' WHEN score >= 0.4 THEN 'Warning' ELSE 'Low' END AS severity, count(*) AS n, max(score) AS max_score FROM al GROUP BY 1, 2",
     "alerts_sorted": AL + A7 + " ORDER BY score DESC, alert_id DESC LIMIT 100",
     "timeline_positions": AL + " SELECT alert_id, detector_name, round(CAST(window_start_ns - (SELECT min(window_start_ns) FROM al) AS DOUBLE) / ((SELECT max(window_start_ns) FROM al) - (SELECT min(window_start_ns) FROM al)), 6) AS position FROM al",
+    "evidence_parsed": AL + """ SELECT alert_id, CAST(f.group_qty AS BIGINT) AS group_qty, CAST(f.total_qty AS BIGINT) AS total_qty, CAST(f.group_size AS BIGINT) AS group_size,
+      regexp_replace(CAST(round(CAST(f.share AS DECIMAL(10, 6)) * 100, 1) AS VARCHAR), '\\.0+$', '') || '%' AS share_text FROM (
+      SELECT alert_id, regexp_extract(evidence, '=(\\d+) / total=(\\d+) .share=([0-9.]+), group_size=(\\d+)', ['group_qty', 'total_qty', 'share', 'group_size']) AS f FROM al WHERE detector_name = 'MarkingTheCloseDetector') x""",
+    "evidence_fields": AL + """, word AS (SELECT alert_id, detector_name, unnest(string_split_regex(replace(replace(replace(evidence, 'closing-window volume', 'group_qty'), 'order qty', 'qty'), 'running mean', 'mean'), '[ (),/]+')) AS w FROM al WHERE ord IN (2, 3, 5))
+      SELECT alert_id, detector_name, CASE split_part(w, '=', 1) WHEN 'opposite_price_moved_favorably' THEN 'moved' WHEN 'concurrent_same_side_orders' THEN 'concurrent' WHEN 'total' THEN 'total_qty' ELSE split_part(w, '=', 1) END AS field, split_part(w, '=', 2) AS value
+      FROM word WHERE w LIKE '%=%'""",
+    "evidence_readable": AL + """, gap AS (SELECT *, window_end_ns - window_start_ns AS ns FROM al WHERE detector_name = 'FrontRunningDetector'),
+      unit AS (SELECT *, CASE WHEN ns < 1000 THEN 1 WHEN ns < 1000000 THEN 1000 WHEN ns < 1000000000 THEN 1000000 ELSE 1000000000 END AS u FROM gap),
+      cent AS (SELECT *, (ns * 100 + u // 2) // u AS h FROM unit)
+      SELECT alert_id, replace(evidence, ' ' || CAST(ns AS VARCHAR) || 'ns after', ' ' || CASE u WHEN 1 THEN CAST(ns AS VARCHAR) || 'ns' ELSE CAST(h // 100 AS VARCHAR) || '.' || lpad(CAST(h % 100 AS VARCHAR), 2, '0') || CASE u WHEN 1000 THEN 'µs' WHEN 1000000 THEN 'ms' ELSE 's' END END || ' after') AS evidence FROM cent""",
+    "ml_features": BASE.replace("WITH ord", "WITH RECURSIVE ord", 1) + """, sq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY timestamp_ns, is_exec, idx) AS seq FROM evs),
+      step AS MATERIALIZED (SELECT account_id, instrument_id, seq, timestamp_ns, qty, CASE WHEN status = 'New' THEN 1 ELSE 0 END AS is_new, row_number() OVER (PARTITION BY account_id, instrument_id ORDER BY seq) AS i FROM sq WHERE kind = 'order'),
+      flow AS (SELECT *, timestamp_ns AS started, is_new AS n, is_new * qty AS total, 1 - is_new AS gone FROM step WHERE i = 1
+        UNION ALL SELECT s.*, CASE WHEN anew THEN s.timestamp_ns ELSE started END, CASE WHEN anew THEN 0 ELSE n END + s.is_new, CASE WHEN anew THEN 0 ELSE total END + s.is_new * s.qty, CASE WHEN anew THEN 0 ELSE gone END + 1 - s.is_new
+        FROM (SELECT f.*, s AS s, s.timestamp_ns < f.started OR s.timestamp_ns - f.started > 60000000000 AS anew FROM flow f JOIN step s ON s.account_id = f.account_id AND s.instrument_id = f.instrument_id AND s.i = f.i + 1) x)
+      SELECT account_id, instrument_id, seq, timestamp_ns, CAST(n AS BIGINT) AS order_count, CAST(total AS BIGINT) AS total_qty, CAST(total AS DOUBLE) / n AS avg_qty, CAST(gone AS DOUBLE) / n AS cancel_ratio, n / 6e1 AS orders_per_second FROM flow WHERE n >= 5 AND n % 5 = 0""",
     "case_status": AL + " SELECT coalesce(s.status, 'OPEN') AS status, count(*) AS n, min(al.alert_id) AS first_alert FROM al LEFT JOIN (VALUES (1, 'ESCALATED'), (2, 'OPEN'), (5, 'CLOSED')) s(alert_id, status) ON al.alert_id = s.alert_id GROUP BY 1",
     "universes": BASE + """ SELECT universe, CASE k WHEN 0 THEN 'WashTrade' WHEN 1 THEN 'SpoofingLayering' WHEN 2 THEN 'MarkingTheClose' WHEN 3 THEN 'FrontRunning' ELSE 'None' END AS pattern, count(DISTINCT order_id) AS n_ids
       FROM (SELECT CASE WHEN kind = 'execution' THEN 'execution' WHEN status = 'New' THEN 'new' ELSE 'cancel' END AS universe, order_id, event_id % 20 AS k FROM evs) x GROUP BY 1, 2""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapewatch.functions.storage import keep, numbered
-from tapewatch.operators import book, detectors, keyed, relations
+from tapewatch.operators import book, detectors, keyed, relations, reports
 from tapewatch.sources import adapter
 
 BASE = adapter.SQL
@@ -34,6 +34,13 @@ def sequenced(spark: SparkSession, sf: str) -> DataFrame:
     return numbered(adapter.order_events(spark, sf), ["timestamp_ns", "is_exec", "idx"], "seq")
 
 
+def booked(spark: SparkSession, sf: str) -> DataFrame:
+    """All events, written once, with seq (by instrument, then time) and sequence, their number within the instrument."""
+    rows = numbered(adapter.order_events(spark, sf), ["instrument_id", "timestamp_ns", "is_exec", "idx"], "seq")
+    first = rows.groupBy("instrument_id").agg(F.min("seq").alias("_first"))  # one row an instrument
+    return keep(rows.join(first, "instrument_id").withColumn("sequence", F.col("seq") - F.col("_first") + 1).drop("_first"))  # every detector reads it
+
+
 def flat(alerts: DataFrame, *more) -> DataFrame:
     joined = lambda c: F.array_join(c, ",").alias(c)
     return alerts.select(*FLAT, F.round("score", 6).alias("score"), joined("account_ids"), joined("order_ids"), *more)
@@ -47,7 +54,8 @@ ZSCORE = """, prior AS (
   SELECT *, count(qty) OVER w AS n, avg(qty) OVER w AS mean, stddev_samp(qty) OVER w AS sd FROM ord
   WINDOW w AS (PARTITION BY account_id, instrument_id ORDER BY timestamp_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 zs AS (SELECT 'StatisticalBaselineDetector' AS detector_name, instrument_id, timestamp_ns AS window_start_ns, timestamp_ns AS window_end_ns,
-  round(least(abs((qty - mean) / sd) / 6.0, 1.0), 6) AS score, account_id AS account_ids, order_id AS order_ids, event_id * 2 AS idx, 0 AS is_exec, 0 AS emission
+  round(least(abs((qty - mean) / sd) / 6.0, 1.0), 6) AS score, account_id AS account_ids, order_id AS order_ids, event_id * 2 AS idx, 0 AS is_exec, 0 AS emission,
+  'order qty=' || CAST(qty AS VARCHAR) || format(' z={:.6f} against running mean={:.6f} stddev={:.6f}', (qty - mean) / sd, mean, sd) || ' (n=' || CAST(n AS VARCHAR) || ')' AS evidence
   FROM prior WHERE n >= 5 AND sd > 0 AND abs((qty - mean) / sd) >= 3)"""
 PICK = " SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, order_ids FROM "
 
@@ -78,7 +86,7 @@ FRONT = """, fr AS (SELECT 'FrontRunningDetector' AS detector_name, b.instrument
 
 def mtc_alerts(spark, sf):
     found = detectors.marking_the_close(execution_events(spark, sf), adapter.entities(spark, sf), session_close(spark, sf))
-    return flat(found, F.size("order_ids").cast("long").alias("n_trades")).drop("order_ids")
+    return flat(found, F.size("order_ids").cast("long").alias("n_trades"), "evidence")
 
 
 MTC = """, lg AS (
@@ -96,12 +104,44 @@ run AS (SELECT *, sum(qty) OVER g AS gq, lead(trade_id) OVER o AS next_trade, le
 chk AS (SELECT *, gq + CASE WHEN leg = 0 AND next_trade = trade_id AND next_first < p THEN qty ELSE 0 END AS group_qty FROM run),
 fire AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, comp ORDER BY p) AS n FROM chk WHERE group_qty >= 100 AND total_qty >= 500 AND CAST(group_qty AS DOUBLE) / total_qty >= 0.4),
 mem AS (SELECT f.instrument_id, f.comp, string_agg(DISTINCT l.account, ',' ORDER BY l.account) AS accounts FROM fire f JOIN lr l ON f.comp = l.comp AND l.first_p <= f.p WHERE f.n = 1 GROUP BY 1, 2),
-trd AS (SELECT f.instrument_id, f.comp, count(*) AS n_trades FROM fire f JOIN lr l ON f.comp = l.comp AND f.instrument_id = l.instrument_id AND l.first_p <= f.p AND (l.timestamp_ns < f.timestamp_ns OR (l.timestamp_ns = f.timestamp_ns AND l.event_id <= f.event_id)) WHERE f.n = 1 GROUP BY 1, 2),
+trd AS (SELECT f.instrument_id, f.comp, count(*) AS n_trades, string_agg(l.trade_id, ',' ORDER BY l.account, l.p) AS trades FROM fire f JOIN lr l ON f.comp = l.comp AND f.instrument_id = l.instrument_id AND l.first_p <= f.p AND (l.timestamp_ns < f.timestamp_ns OR (l.timestamp_ns = f.timestamp_ns AND l.event_id <= f.event_id)) WHERE f.n = 1 GROUP BY 1, 2),
 mt AS (SELECT 'MarkingTheCloseDetector' AS detector_name, f.instrument_id, 1704067900000000000 AS window_start_ns, f.timestamp_ns AS window_end_ns, round(least(CAST(f.group_qty AS DOUBLE) / f.total_qty, 1.0), 6) AS score,
-  m.accounts AS account_ids, t.n_trades, f.event_id * 2 AS idx, 1 AS is_exec, f.leg AS emission
+  m.accounts AS account_ids, t.n_trades, t.trades AS order_ids, f.event_id * 2 AS idx, 1 AS is_exec, f.leg AS emission,
+  'account-group closing-window volume=' || CAST(CAST(f.group_qty AS BIGINT) AS VARCHAR) || ' / total=' || CAST(CAST(f.total_qty AS BIGINT) AS VARCHAR) || format(' (share={:.6f}, group_size=', CAST(f.group_qty AS DOUBLE) / f.total_qty) || CAST(len(string_split(m.accounts, ',')) AS VARCHAR) || ')' AS evidence
   FROM fire f JOIN mem m ON f.instrument_id = m.instrument_id AND f.comp = m.comp JOIN trd t ON f.instrument_id = t.instrument_id AND f.comp = t.comp WHERE f.n = 1)"""
 
 
+#: Events with their numbers; the best prices after each of them from every level's running quantity.
+TRACE = """, sq AS (SELECT *, row_number() OVER (ORDER BY timestamp_ns, is_exec, idx) AS seq, row_number() OVER (PARTITION BY instrument_id ORDER BY timestamp_ns, is_exec, idx) AS sequence,
+  CASE WHEN status = 'New' THEN qty ELSE -qty END AS delta FROM evs),
+grid AS (SELECT e.seq, l.side, l.price, sum(CASE WHEN e.side = l.side AND e.price = l.price THEN e.delta ELSE 0 END) OVER (PARTITION BY e.instrument_id, l.side, l.price ORDER BY e.seq) AS q
+  FROM sq e JOIN (SELECT DISTINCT instrument_id, side, price FROM sq) l ON e.instrument_id = l.instrument_id),
+bst AS (SELECT seq, max(CASE WHEN side = 'Buy' AND q > 0 THEN price END) AS best_bid, min(CASE WHEN side = 'Sell' AND q > 0 THEN price END) AS best_ask FROM grid GROUP BY 1),
+trc AS (SELECT s.*, b.best_bid, b.best_ask, CAST(sum(s.delta) OVER (PARTITION BY s.instrument_id, s.side, s.price ORDER BY s.seq) AS BIGINT) AS level_qty FROM sq s JOIN bst b ON s.seq = b.seq),
+knw AS (SELECT *, last_value(best_bid IGNORE NULLS) OVER w AS bid_before, last_value(best_ask IGNORE NULLS) OVER w AS ask_before FROM trc
+  WINDOW w AS (PARTITION BY instrument_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+mvs AS (SELECT *, coalesce(best_bid <> bid_before, false) AS bid_moved, coalesce(best_ask <> ask_before, false) AS ask_moved FROM knw)"""
+#: Scored cancels: depth, speed, the other side's reaction and layering against other accounts' usual number of orders.
+SPOOF = TRACE + """, cnc AS (SELECT e.*, CAST(sum(CASE WHEN e.status = 'New' THEN 1 WHEN e.status = 'Cancelled' THEN -1 WHEN e.qty = o.qty THEN -1 ELSE 0 END)
+  OVER (PARTITION BY e.account_id, e.instrument_id, e.side ORDER BY e.seq) AS BIGINT) AS n_open FROM mvs e JOIN ord o ON e.order_id = o.order_id),
+cxl AS (SELECT c.*, n.timestamp_ns AS placed, c.timestamp_ns - n.timestamp_ns AS dwell, CAST(n.qty AS DOUBLE) / n.level_qty AS depth,
+  CASE WHEN c.side = 'Buy' THEN c.best_ask - n.best_ask >= CAST(0.01 AS DOUBLE) ELSE c.best_bid - n.best_bid <= CAST(-0.01 AS DOUBLE) END AS reacted
+  FROM cnc c JOIN cnc n ON n.order_id = c.order_id AND n.status = 'New' WHERE c.status = 'Cancelled'),
+near AS (SELECT c.seq, count(m.seq) AS n_moves FROM cxl c LEFT JOIN mvs m ON m.instrument_id = c.instrument_id AND m.seq <= c.seq AND m.timestamp_ns >= c.timestamp_ns - 30000000000
+  AND CASE WHEN c.side = 'Buy' THEN m.ask_moved ELSE m.bid_moved END GROUP BY 1),
+usual AS (SELECT c.seq, CAST(sum(x.n_open) AS DOUBLE) / count(*) AS typical FROM cxl c JOIN cnc x ON x.status = 'New' AND x.instrument_id = c.instrument_id AND x.side = c.side AND x.account_id <> c.account_id
+  AND x.seq <= c.seq AND x.timestamp_ns >= c.timestamp_ns - 30000000000 GROUP BY 1),
+part AS (SELECT c.*, coalesce(c.reacted, false) AS moved, coalesce(u.typical, CAST(0 AS DOUBLE)) AS typical, greatest(least(1 - CAST(c.dwell AS DOUBLE) / 5e9, 1), 0) AS speed,
+  CASE WHEN c.reacted THEN greatest(least(1 - CAST(n.n_moves AS DOUBLE) / 3e1 * CAST(least(c.dwell, 5000000000) AS DOUBLE) / 1e9, 1), 0) ELSE CAST(0 AS DOUBLE) END AS move
+  FROM cxl c JOIN near n ON c.seq = n.seq LEFT JOIN usual u ON c.seq = u.seq),
+lay AS (SELECT *, greatest(least((n_open - typical) / 3, 1), 0) AS layering FROM part),
+scd AS (SELECT *, greatest(least((depth + speed + move) / 3 + CAST(0.15 AS DOUBLE) * layering, 1), 0) AS score,
+  format('depth_ratio={:.6f} speed={:.6f}', depth, speed) || ' opposite_price_moved_favorably=' || CASE WHEN moved THEN 'true' ELSE 'false' END || format(' move_score={:.6f}', move) || ' concurrent_same_side_orders=' || CAST(n_open AS VARCHAR) ||
+  format(' typical_concurrent={:.6f} layering_score={:.6f}', typical, layering) || ' time_in_book_ns=' || CAST(dwell AS VARCHAR) AS evidence FROM lay),
+sp AS (SELECT 'SpoofingLayeringDetector' AS detector_name, instrument_id, placed AS window_start_ns, timestamp_ns AS window_end_ns, round(score, 6) AS score, account_id AS account_ids, order_id AS order_ids,
+  idx, is_exec, 0 AS emission, evidence FROM scd WHERE score >= CAST(0.6 AS DOUBLE))"""
+
+
 def mtc_group_share(spark, sf):
     legs = detectors.closing_legs(execution_events(spark, sf), adapter.entities(spark, sf), session_close(spark, sf))
     groups = legs.groupBy("instrument_id", "component").agg(F.sum("qty").alias("group_qty"), F.countDistinct("account").alias("n_accounts"))
@@ -155,12 +195,10 @@ DELTA = ", dlt AS (SELECT *, CASE WHEN status = 'New' THEN qty ELSE -qty END AS
 
 def concurrent_orders(spark, sf):
     w = Window.partitionBy("account_id", "instrument_id", "side").orderBy("timestamp_ns", "is_exec", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    full = F.when(F.col("event_type").isin("click", "purchase"), True).when((F.col("event_type") == "signup") & (F.col("qty") == 1), True).otherwise(False)
     ends = adapter.executions(spark, sf).join(adapter.orders(spark, sf).select("order_id", F.col("qty").alias("order_qty")), "order_id").filter("qty = order_qty")
     base = adapter.order_events(spark, sf)
     left = base.join(ends.select("trade_id", F.lit(True).alias("full")), "trade_id", "left")
     step = F.when(F.col("status") == "New", 1).when(F.col("status") == "Cancelled", -1).when(F.col("full"), -1).otherwise(0)
-    assert full is not None
     return left.withColumn("step", step).select("order_id", "kind", "status", "timestamp_ns", F.sum("step").over(w).alias("concurrent"))
 
 
@@ -169,21 +207,27 @@ def book_trace(spark, sf):
 
 
 def ambient_moves(spark, sf):
-    """Changes of the best bid against the last one known, and how many there were in the 30 s up to each event."""
-    so_far = Window.partitionBy("instrument_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    """Changes of the best prices against the last ones known, and how many there were in the 30 s up to each event."""
+    so_far = Window.partitionBy("instrument_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     half_minute = Window.partitionBy("instrument_id").orderBy("timestamp_ns").rangeBetween(-30_000_000_000, 0)
-    rows = book_trace(spark, sf).filter("not skipped").withColumn("known", F.last("best_bid", ignorenulls=True).over(so_far))
-    rows = rows.withColumn("before", F.lag("known").over(Window.partitionBy("instrument_id").orderBy("seq")))
-    rows = rows.withColumn("moved", F.coalesce(F.col("best_bid") != F.col("before"), F.lit(False)))
-    return rows.select("instrument_id", "seq", "best_bid", "moved", F.sum(F.col("moved").cast("long")).over(half_minute).alias("moves_30s"))
+    rows = book_trace(spark, sf).filter("not skipped")
+    moved = lambda best: F.coalesce(F.col(best) != F.last(best, ignorenulls=True).over(so_far), F.lit(False))
+    rows = rows.withColumns({"moved": moved("best_bid"), "ask_moved": moved("best_ask")})
+    lately = lambda c: F.sum(F.col(c).cast("long")).over(half_minute)
+    return rows.select("instrument_id", "seq", "best_bid", "moved", lately("moved").alias("moves_30s"), "best_ask", "ask_moved", lately("ask_moved").alias("ask_moves_30s"))
 
 
 def book_snapshots(spark, sf):
-    return book.replay(sequenced(spark, sf), "snapshots")
+    """The orders that rest at the end, each with its level and its place there."""
+    ends = reports.depth_json(book.replay(sequenced(spark, sf), "snapshots"))
+    side = lambda name, levels: ends.select("instrument_id", "sequence", "last_event_timestamp_ns", F.lit(name).alias("side"), F.explode(levels).alias("level"))
+    levels = side("Buy", "bids").unionByName(side("Sell", "asks"))
+    orders = levels.select("instrument_id", "sequence", "last_event_timestamp_ns", "side", "level.price", "level.total_qty", F.posexplode("level.orders").alias("place", "o"))
+    return orders.select(*(c for c in orders.columns if c != "o"), "o.*")
 
 
 def spoof_scores(spark, sf):
-    return book.replay(sequenced(spark, sf), "scores")
+    return book.replay(sequenced(spark, sf), "scores").withColumn("score", F.round("score", 6))
 
 
 def spoof_alerts(spark, sf):
@@ -246,24 +290,31 @@ def distinct_instruments(spark, sf):
 
 
 def all_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """The set-based detectors' alerts, numbered by event, detector and emission."""
-    ents = keep(adapter.entities(spark, sf))
-    new, done = new_orders(spark, sf), execution_events(spark, sf)
-    found = detectors.union_alerts(detectors.wash_trades(done, ents), detectors.marking_the_close(done, ents, session_close(spark, sf)), detectors.front_running(new, ents), detectors.zscore_alerts(new))
-    return numbered(found, ["window_end_ns", "is_exec", "idx", "detector_ord", "emission"], "alert_id")
+    """All six detectors' alerts, numbered by event, detector and emission."""
+    ents, events = keep(adapter.entities(spark, sf)), booked(spark, sf)
+    new, done = events.filter("status = 'New'"), events.filter("kind = 'execution'")
+    close = new.select("instrument_id").distinct().withColumn("session_close_ns", F.lit(adapter.CLOSE_NS))
+    found = detectors.union_alerts(
+        detectors.wash_trades(done, ents), detectors.spoofing(events), detectors.marking_the_close(done, ents, close),
+        detectors.front_running(new, ents), detectors.zscore_alerts(new), detectors.anomalies(events),
+    )
+    return numbered(keep(found), ["window_end_ns", "is_exec", "idx", "detector_ord", "emission"], "alert_id")  # kept, as sorting reads twice
 
 
 def all_alerts_flat(spark, sf):
-    return flat(all_alerts(spark, sf), "alert_id").drop("order_ids")
+    return flat(all_alerts(spark, sf), "alert_id", "book_snapshot_sequence")
 
 
-ALERTS = ZSCORE + WASH + FRONT + MTC + """, al AS (
-  SELECT row_number() OVER (ORDER BY window_end_ns, is_exec, idx, ord, emission) AS alert_id, * FROM (
-  SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, 1 AS ord, is_exec, idx, emission FROM ws
-  UNION ALL SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, 3, is_exec, idx, emission FROM mt
-  UNION ALL SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, 4, is_exec, idx, emission FROM fr
-  UNION ALL SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, 5, is_exec, idx, emission FROM zs) u)"""
-A7 = " SELECT alert_id, detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids FROM al"
+#: The anomaly detector has no SQL: the forest scores no window of the small tables as high as its threshold.
+ALERTS = ZSCORE + WASH + FRONT + MTC + SPOOF + """, al AS (
+  SELECT row_number() OVER (ORDER BY window_end_ns, u.is_exec, u.idx, ord, emission) AS alert_id, u.*, sq.sequence AS book_snapshot_sequence FROM (
+  SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, order_ids, evidence, 1 AS ord, is_exec, idx, emission FROM ws
+  UNION ALL SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, order_ids, evidence, 2, is_exec, idx, emission FROM sp
+  UNION ALL SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, order_ids, evidence, 3, is_exec, idx, emission FROM mt
+  UNION ALL SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, order_ids, evidence, 4, is_exec, idx, emission FROM fr
+  UNION ALL SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, order_ids, evidence, 5, is_exec, idx, emission FROM zs) u
+  JOIN sq ON u.idx = sq.idx AND u.is_exec = sq.is_exec)"""
+A7 = " SELECT alert_id, detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, order_ids, book_snapshot_sequence FROM al"
 
 QUERIES = {f.__name__: f for f in (
     zscore_alerts, wash_trades, front_running, mtc_alerts, mtc_group_share, related_pairs, account_components, book_level_qty, book_best_price,
@@ -276,7 +327,7 @@ ORACLE = {
     "front_running": BASE + FRONT + PICK.replace(" FROM ", ", evidence FROM ") + "fr",
     "front_running_stateful": BASE + FRONT + " SELECT instrument_id, window_start_ns, window_end_ns, account_ids, order_ids FROM fr",
     "zscore_stateful": BASE + ZSCORE.replace("FROM prior WHERE", ", n FROM prior WHERE") + " SELECT instrument_id, account_ids AS account_id, order_ids AS order_id, window_start_ns AS timestamp_ns, score, n FROM zs",
-    "mtc_alerts": BASE + MTC + " SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, n_trades FROM mt",
+    "mtc_alerts": BASE + MTC + " SELECT detector_name, instrument_id, window_start_ns, window_end_ns, score, account_ids, order_ids, n_trades, evidence FROM mt",
     "mtc_group_share": BASE + MTC + """ SELECT g.instrument_id, 'ACC-' || lpad(CAST(CAST(substr(comp, 5) AS BIGINT) * 2 AS VARCHAR), 6, '0') AS component, group_qty, n_accounts, total_qty, round(CAST(group_qty AS DOUBLE) / total_qty, 6) AS share
       FROM (SELECT instrument_id, comp, CAST(sum(qty) AS BIGINT) AS group_qty, count(DISTINCT account) AS n_accounts FROM lg GROUP BY 1, 2) g
       JOIN (SELECT instrument_id, CAST(sum(qty) AS BIGINT) AS total_qty FROM lg WHERE leg = 0 GROUP BY 1) t ON g.instrument_id = t.instrument_id""",
@@ -302,5 +353,13 @@ ORACLE = {
     "strip_labels": BASE + " SELECT kind, status, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM evs GROUP BY 1, 2",
     "execution_sides": BASE + " SELECT e.trade_id, e.order_id, o.side, e.qty FROM exe e JOIN ord o ON e.order_id = o.order_id",
     "distinct_instruments": BASE + " SELECT instrument_id, count(*) AS n_orders, count(DISTINCT account_id) AS n_accounts FROM ord GROUP BY 1",
+    "book_trace": BASE + TRACE + " SELECT instrument_id, seq, sequence, false AS skipped, best_bid, best_ask, level_qty, timestamp_ns FROM trc",
+    "ambient_moves": BASE + TRACE + """ SELECT instrument_id, seq, best_bid, bid_moved AS moved, CAST(count(*) FILTER (WHERE bid_moved) OVER w AS BIGINT) AS moves_30s, best_ask, ask_moved, CAST(count(*) FILTER (WHERE ask_moved) OVER w AS BIGINT) AS ask_moves_30s
+      FROM mvs WINDOW w AS (PARTITION BY instrument_id ORDER BY timestamp_ns RANGE BETWEEN 30000000000 PRECEDING AND CURRENT ROW)""",
+    "book_snapshots": BASE + LIVE + """ SELECT l.instrument_id, e.sequence, e.last_event_timestamp_ns, l.side, l.price, CAST(sum(l.remaining) OVER (PARTITION BY l.instrument_id, l.side, l.price) AS BIGINT) AS total_qty,
+      row_number() OVER (PARTITION BY l.instrument_id, l.side, l.price ORDER BY l.timestamp_ns, l.event_id) - 1 AS place, l.order_id, l.account_id, l.remaining AS qty
+      FROM live l JOIN (SELECT instrument_id, count(*) AS sequence, max(timestamp_ns) AS last_event_timestamp_ns FROM evs GROUP BY 1) e ON l.instrument_id = e.instrument_id""",
+    "spoof_scores": BASE + SPOOF + " SELECT instrument_id, seq, sequence AS book_snapshot_sequence, round(score, 6) AS score, score >= CAST(0.6 AS DOUBLE) AS fired, account_id, order_id, placed AS window_start_ns, timestamp_ns AS window_end_ns, evidence FROM scd",
+    "spoof_alerts": BASE + SPOOF + " SELECT instrument_id, seq, sequence AS book_snapshot_sequence, round(score, 6) AS score, account_id, order_id, placed AS window_start_ns, timestamp_ns AS window_end_ns, evidence FROM scd WHERE score >= CAST(0.6 AS DOUBLE)",
     "all_alerts": BASE + ALERTS + A7,
 }

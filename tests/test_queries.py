@@ -33,7 +33,8 @@ def test_equals_sql(spark, sf, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).columns
+    frame = registry.QUERIES[name](spark, sf)
+    assert len(frame.collect()) >= 0 and len(set(frame.columns)) == len(frame.columns)
 
 
 def test_entry(spark):
