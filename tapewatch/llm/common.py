@@ -9,9 +9,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.functions.storage import keep, ship_package
+from tapewatch.functions.storage import keep, ship_package, written
 
-__all__ = ["keep", "ship_package", "table", "by_bytes", "words_of", "let", "doc_fold", "join_small_keys"]
+__all__ = ["keep", "ship_package", "written", "table", "by_bytes", "words_of", "let", "doc_fold", "join_small_keys"]
 
 #: White space of the contracts: space and the ASCII controls tab to carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"

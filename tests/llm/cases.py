@@ -1,5 +1,7 @@
 """Documents with nulls, empty and very long texts, repeated rows, and columns with clashing names."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType([
@@ -20,3 +22,13 @@ TEXTS = [
 def documents(spark, rows=TEXTS):
     junk = ("x",) * 10
     return spark.createDataFrame([(*r, len(r[1] or ""), *junk) for r in rows], SCHEMA)
+
+
+@contextmanager
+def uncoalesced(spark):
+    """Small partitions stay apart, as large ones would."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
