@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapewatch.functions.storage import keep, numbered
-from tapewatch.operators import book, detectors, keyed, relations, reports
+from tapewatch.operators import book, book_sets, detectors, keyed, relations, reports
 from tapewatch.sources import adapter
 
 BASE = adapter.SQL
@@ -117,7 +117,8 @@ TRACE = """, sq AS (SELECT *, row_number() OVER (ORDER BY timestamp_ns, is_exec,
 grid AS (SELECT e.seq, l.side, l.price, sum(CASE WHEN e.side = l.side AND e.price = l.price THEN e.delta ELSE 0 END) OVER (PARTITION BY e.instrument_id, l.side, l.price ORDER BY e.seq) AS q
   FROM sq e JOIN (SELECT DISTINCT instrument_id, side, price FROM sq) l ON e.instrument_id = l.instrument_id),
 bst AS (SELECT seq, max(CASE WHEN side = 'Buy' AND q > 0 THEN price END) AS best_bid, min(CASE WHEN side = 'Sell' AND q > 0 THEN price END) AS best_ask FROM grid GROUP BY 1),
-trc AS (SELECT s.*, b.best_bid, b.best_ask, CAST(sum(s.delta) OVER (PARTITION BY s.instrument_id, s.side, s.price ORDER BY s.seq) AS BIGINT) AS level_qty FROM sq s JOIN bst b ON s.seq = b.seq),
+trc AS (SELECT s.*, b.best_bid, b.best_ask, CAST(sum(s.delta) OVER (PARTITION BY s.instrument_id, s.side, s.price ORDER BY s.seq) AS BIGINT) AS level_qty,
+  CAST(sum(CASE WHEN s.status = 'New' THEN 1 WHEN s.status = 'Cancelled' OR s.qty = o.qty THEN -1 ELSE 0 END) OVER (PARTITION BY s.instrument_id, s.side, s.price ORDER BY s.seq) AS BIGINT) AS level_orders FROM sq s JOIN bst b ON s.seq = b.seq JOIN ord o ON s.order_id = o.order_id),
 knw AS (SELECT *, last_value(best_bid IGNORE NULLS) OVER w AS bid_before, last_value(best_ask IGNORE NULLS) OVER w AS ask_before FROM trc
   WINDOW w AS (PARTITION BY instrument_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 mvs AS (SELECT *, coalesce(best_bid <> bid_before, false) AS bid_moved, coalesce(best_ask <> ask_before, false) AS ask_moved FROM knw)"""
@@ -203,7 +204,7 @@ def concurrent_orders(spark, sf):
 
 
 def book_trace(spark, sf):
-    return book.replay(sequenced(spark, sf), "trace")
+    return book_sets.trace(sequenced(spark, sf))
 
 
 def ambient_moves(spark, sf):
@@ -353,7 +354,7 @@ ORACLE = {
     "strip_labels": BASE + " SELECT kind, status, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM evs GROUP BY 1, 2",
     "execution_sides": BASE + " SELECT e.trade_id, e.order_id, o.side, e.qty FROM exe e JOIN ord o ON e.order_id = o.order_id",
     "distinct_instruments": BASE + " SELECT instrument_id, count(*) AS n_orders, count(DISTINCT account_id) AS n_accounts FROM ord GROUP BY 1",
-    "book_trace": BASE + TRACE + " SELECT instrument_id, seq, sequence, false AS skipped, best_bid, best_ask, level_qty, timestamp_ns FROM trc",
+    "book_trace": BASE + TRACE + " SELECT instrument_id, seq, sequence, false AS skipped, best_bid, best_ask, level_qty, level_orders, timestamp_ns FROM trc",
     "ambient_moves": BASE + TRACE + """ SELECT instrument_id, seq, best_bid, bid_moved AS moved, CAST(count(*) FILTER (WHERE bid_moved) OVER w AS BIGINT) AS moves_30s, best_ask, ask_moved, CAST(count(*) FILTER (WHERE ask_moved) OVER w AS BIGINT) AS ask_moves_30s
       FROM mvs WINDOW w AS (PARTITION BY instrument_id ORDER BY timestamp_ns RANGE BETWEEN 30000000000 PRECEDING AND CURRENT ROW)""",
     "book_snapshots": BASE + LIVE + """ SELECT l.instrument_id, e.sequence, e.last_event_timestamp_ns, l.side, l.price, CAST(sum(l.remaining) OVER (PARTITION BY l.instrument_id, l.side, l.price) AS BIGINT) AS total_qty,
