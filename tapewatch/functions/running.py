@@ -49,7 +49,7 @@ def running_sums(rows: DataFrame, keys: list[str], at: str, sums: dict[str, str]
 
 
 def best_covers(points: DataFrame, spans: DataFrame, top: int, bits: int = 6) -> DataFrame:
-    """points (key, at) with bid and ask: the largest worth of the spans of their side that cover them.
+    """points (key, at and any more) with bid and ask: the largest worth of the spans of their side that cover them.
 
     spans: key, side, lo, hi (exclusive), worth. Spans are cut at blocks of 2 ** bits positions: pieces within a block are held against
     its points there, and what covers whole blocks is a span over block numbers, found in the same way one level up
@@ -68,10 +68,10 @@ def best_covers(points: DataFrame, spans: DataFrame, top: int, bits: int = 6) ->
     points = points.withColumn("_block", cut("at"))
     out = points.join(pieces, ["key", "_block"], "left")
     covering = lambda side: F.array_max(F.transform(F.filter("_pieces", lambda p: (p["side"] == side) & (p["lo"] <= F.col("at")) & (F.col("at") < p["hi"])), lambda p: p["worth"]))
-    out = out.select("key", "at", "_block", covering("Buy").alias("bid"), covering("Sell").alias("ask"))
+    out = out.withColumns({"bid": covering("Buy"), "ask": covering("Sell")}).drop("_pieces")
     if top < size:
         return out.drop("_block")
     whole = ends.filter("_b0 < _b1").select("key", "side", F.col("_b0").alias("lo"), F.col("_b1").alias("hi"), "worth")
     above = best_covers(points.select("key", F.col("_block").alias("at")).distinct(), whole, top >> bits, bits)
     above = above.select("key", F.col("at").alias("_block"), F.col("bid").alias("_bid"), F.col("ask").alias("_ask"))
-    return out.join(above, ["key", "_block"], "left").select("key", "at", F.greatest("bid", "_bid").alias("bid"), F.greatest("ask", "_ask").alias("ask"))
+    return out.join(above, ["key", "_block"], "left").withColumns({"bid": F.greatest("bid", "_bid"), "ask": F.greatest("ask", "_ask")}).drop("_block", "_bid", "_ask")

@@ -17,7 +17,6 @@ from tapewatch.functions.storage import keep
 from tapewatch.operators.components import component_labels
 
 RESTING = "struct<id:string,side:string,price:double,account:string,qty:bigint,prio:bigint>"
-FOLD = f"struct<book:array<{RESTING}>,out:array<struct<seq:bigint,skipped:boolean,taken:{RESTING},added:{RESTING}>>>"
 
 
 def node(id_: Column) -> Column:
@@ -32,9 +31,11 @@ def target(e) -> Column:
 def family_of(events: DataFrame) -> DataFrame:
     """events with family: the least id among the orders that replace one another, found by doubling, or the named order's own."""
     links = events.filter("status = 'Replaced'").select(node(F.col("orig_order_id")).alias("a"), node(F.col("order_id")).alias("b"))
-    labels = component_labels(links).withColumnRenamed("node", "_node")
-    named = events.withColumn("_node", node(target(events)))
-    return named.join(labels, "_node", "left").withColumn("family", F.coalesce("label", "_node")).drop("label", "_node")
+    named = events.withColumn("family", node(target(events)))
+    if not links.limit(1).count():
+        return named
+    labels = component_labels(links).withColumnRenamed("node", "family")
+    return named.join(labels, "family", "left").withColumn("family", F.coalesce("label", "family")).drop("label")
 
 
 def resting(id_, side, price, account, qty, prio) -> Column:
@@ -65,7 +66,7 @@ def applied(state: Column, e: Column) -> Column:
         def step(s: Column) -> Column:
             left = F.when(s["take"], F.filter(state["book"], lambda x: x["id"] != held["id"])).otherwise(state["book"])
             book = F.when(s["add"].isNotNull(), F.concat(left, F.array(s["add"]))).otherwise(left)
-            entry = F.struct(e["seq"].alias("seq"), skipped.alias("skipped"), F.when(s["take"], held).otherwise(nothing).alias("taken"), s["add"].alias("added"))
+            entry = F.struct(e.alias("event"), skipped.alias("skipped"), F.when(s["take"], held).otherwise(nothing).alias("taken"), s["add"].alias("added"))
             return F.struct(book.alias("book"), F.concat(state["out"], F.array(entry)).alias("out"))
 
         return let(F.struct(F.coalesce(take, F.lit(False)).alias("take"), add.alias("add")), step)
@@ -74,20 +75,21 @@ def applied(state: Column, e: Column) -> Column:
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """instrument_id, family, book (the family's orders at the end) and out (what each of its events did), written once.
+    """instrument_id, family, book (the family's orders at the end) and out (its events and what each did), written once.
 
     events: EVENT columns with seq. A family's events are one value here: an order's life, however long the instrument's day.
     """
-    columns = ("seq", "kind", "status", "order_id", "orig_order_id", "side", "price", "qty", "account_id")
+    columns = ["seq", *(c for c in events.columns if c not in ("seq", "instrument_id", "trade_id", "counterparty_account_id"))]
+    event = events.select(F.struct(*columns).alias("e")).schema["e"].dataType.simpleString()
     lives = family_of(require_unlabelled(events)).groupBy("instrument_id", "family").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("life"))
-    start = F.struct(F.expr(f"cast(array() as array<{RESTING}>)").alias("book"), F.expr(f"cast(array() as {FOLD.split('out:')[1][:-1]})").alias("out"))
+    nothing = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    start = F.struct(nothing(RESTING).alias("book"), nothing(f"struct<event:{event},skipped:boolean,taken:{RESTING},added:{RESTING}>").alias("out"))
     return keep(lives.select("instrument_id", "family", F.aggregate("life", start, applied).alias("f")).select("instrument_id", "family", "f.book", "f.out"))
 
 
-def effects(events: DataFrame, done: DataFrame) -> DataFrame:
-    """events with skipped, taken and added."""
-    out = done.select(F.explode("out").alias("o")).select("o.*")
-    return events.join(out, "seq")
+def effects(done: DataFrame) -> DataFrame:
+    """The folded events with skipped, taken and added."""
+    return done.select("instrument_id", F.explode("out").alias("o")).select("instrument_id", "o.event.*", "o.skipped", "o.taken", "o.added")
 
 
 def level_changes(events: DataFrame) -> DataFrame:
@@ -103,7 +105,8 @@ def level_changes(events: DataFrame) -> DataFrame:
         F.when(F.col("taken").isNotNull() & ~own("taken"), entry(F.col("taken.side"), F.col("taken.price"), yes, both, False)),
         F.when(F.col("added").isNotNull() & ~own("added") & ~both, entry(F.col("added.side"), F.col("added.price"), no, yes, False)),
     )
-    return events.select("instrument_id", "sequence", "seq", F.explode(F.array_compact(entries)).alias("l")).select("instrument_id", "sequence", "seq", "l.*")
+    more = ("instrument_id", "sequence", "seq", "skipped", "timestamp_ns")
+    return events.select(*more, F.explode(F.array_compact(entries)).alias("l")).select(*more, "l.*")
 
 
 def level_spans(states: DataFrame, top: int) -> DataFrame:
@@ -111,7 +114,7 @@ def level_spans(states: DataFrame, top: int) -> DataFrame:
 
     The n-th opening of a level belongs to the n-th closing; both have the number of openings so far.
     """
-    turns = keep(states.filter("(level_orders > 0) != (level_orders - dn > 0)").withColumn("opens", (F.col("dn") > 0).cast("long")).select("instrument_id", "side", "price", "sequence", "opens"))
+    turns = states.filter("(level_orders > 0) != (level_orders - dn > 0)").select("instrument_id", "side", "price", "sequence", (F.col("dn") > 0).cast("long").alias("opens"))
     counted = running_sums(turns, ["instrument_id", "side", "price"], "sequence", {"nth": "opens"})
     spans = counted.groupBy("instrument_id", "side", "price", "nth").agg(F.min("sequence").alias("lo"), F.max(F.when(F.col("opens") == 0, F.col("sequence"))).alias("hi"))
     worth = F.when(F.col("side") == "Buy", F.col("price")).otherwise(-F.col("price"))
@@ -125,18 +128,13 @@ def trace(events: DataFrame) -> DataFrame:
     Each family is folded by itself; level totals are running sums over blocks of events, and best prices are looked up among the spans in which
     levels held orders. So one instrument's events are shared by all tasks.
     """
-    events = keep(events)
-    done = folded(events)
-    numbered_events = with_position(effects(events, done), ["instrument_id"], ["seq"], "sequence")
-    numbered_events = keep(numbered_events.select("instrument_id", "seq", "sequence", "skipped", "side", "price", "taken", "added", "timestamp_ns"))
-    changes = keep(level_changes(numbered_events))
+    used = events.select("instrument_id", "seq", "kind", "status", "order_id", "orig_order_id", "side", "price", "qty", "account_id", "timestamp_ns")
+    changes = level_changes(effects(folded(with_position(used, ["instrument_id"], ["seq"], "sequence"))))
     states = keep(running_sums(changes, ["instrument_id", "side", "price"], "sequence", {"level_qty": "dq", "level_orders": "dn"}))
-    top = numbered_events.agg(F.max("sequence")).first()[0] or 0
-    points = numbered_events.select(F.col("instrument_id").alias("key"), F.col("sequence").alias("at"))
-    best = best_covers(points, level_spans(states, top), top).select(F.col("key").alias("instrument_id"), F.col("at").alias("sequence"), F.col("bid").alias("best_bid"), (-F.col("ask")).alias("best_ask"))
-    named = states.filter("named").select("instrument_id", "sequence", "level_qty", "level_orders")
-    rows = numbered_events.select("instrument_id", "seq", "sequence", "skipped", "timestamp_ns")
-    return rows.join(best, ["instrument_id", "sequence"]).join(named, ["instrument_id", "sequence"])
+    top = states.agg(F.max("sequence")).first()[0] or 0
+    points = states.filter("named").select(F.col("instrument_id").alias("key"), F.col("sequence").alias("at"), "seq", "skipped", "level_qty", "level_orders", "timestamp_ns")
+    best = best_covers(points, level_spans(states, top), top)
+    return best.select(F.col("key").alias("instrument_id"), "seq", F.col("at").alias("sequence"), "skipped", F.col("bid").alias("best_bid"), (-F.col("ask")).alias("best_ask"), "level_qty", "level_orders", "timestamp_ns")
 
 
 def resting_orders(events: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.functions.storage import keep, numbered
+from tapewatch.functions.storage import numbered
 from tapewatch.operators import book, book_sets
 from tapewatch.sources import adapter
 
@@ -46,8 +46,7 @@ FROM rst WINDOW w AS (PARTITION BY instrument_id, side, p2 ORDER BY prio)"""
 
 def rejected_events(spark, sf):
     """The events that books reject, by kind: they use up a sequence number and change nothing."""
-    events = keep(amended(spark, sf))
-    return book_sets.effects(events, book_sets.folded(events)).filter("skipped").select("seq", "kind", "status", "order_id", "instrument_id", "qty")
+    return book_sets.effects(book_sets.folded(amended(spark, sf))).filter("skipped").select("seq", "kind", "status", "order_id", "instrument_id", "qty")
 
 
 def amended_replay(spark, sf):
