@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapewatch.functions.running import running_sums, with_position
 from tapewatch.functions.schemas import require_unlabelled
 from tapewatch.functions.storage import keep
 from tapewatch.operators import anomaly, book
@@ -85,7 +86,8 @@ def closing_legs(executions: DataFrame, entities: DataFrame, close: DataFrame, w
     """The legs of executions in [close - window, close]: leg 0 is the account, leg 1 another counterparty.
 
     close has instrument_id and session_close_ns. Each leg gets its account's component, when that
-    account was first seen (over all instruments), and the running volumes of its check.
+    account was first seen (over all instruments), and the running volumes of its check, which are summed by
+    blocks of an instrument's legs, so that no task has all of them.
     """
     rows = with_sequence(executions).join(close, "instrument_id").filter((F.col("timestamp_ns") <= F.col("session_close_ns")) & (F.col("timestamp_ns") >= F.col("session_close_ns") - window_ns))
     other = (F.coalesce("counterparty_account_id", F.lit("")) != "") & (F.col("counterparty_account_id") != F.col("account_id"))
@@ -96,15 +98,16 @@ def closing_legs(executions: DataFrame, entities: DataFrame, close: DataFrame, w
     at = F.struct("timestamp_ns", "idx", "leg")
     first = legs.groupBy("account").agg(F.min(at).alias("first_seen"))
     legs = legs.join(first, "account").withColumn("at", at)
-    group = Window.partitionBy("instrument_id", "component").orderBy("timestamp_ns", "idx", "leg")
-    so_far = group.rowsBetween(Window.unboundedPreceding, 0)
-    everyone = Window.partitionBy("instrument_id").orderBy("timestamp_ns", "idx", "leg").rowsBetween(Window.unboundedPreceding, 0)
+    # The other leg of the same execution, if it is of the same group.
+    pair = Window.partitionBy("instrument_id", "component", *ORDER_COLS).orderBy("leg")
+    twin = F.coalesce(F.lead("first_seen").over(pair) < F.col("at"), F.lit(False)) & (F.col("leg") == 0)
+    legs = legs.withColumns({"_twin": F.when(twin, F.col("qty")).otherwise(0), "_traded": F.when(F.col("leg") == 0, F.col("qty")).otherwise(0)})
+    legs = with_position(legs, ["instrument_id"], ["timestamp_ns", "idx", "leg"], "_place")
+    legs = keep(running_sums(legs, ["instrument_id"], "_place", {"total_qty": "_traded"}))
+    legs = running_sums(legs, ["instrument_id", "component"], "_place", {"group_qty": "qty"})
     # At leg 0 the other leg's volume is credited already, and counts if its account was seen before.
-    twin = (F.lead("trade_id").over(group) == F.col("trade_id")) & (F.lead("first_seen").over(group) < F.col("at"))
-    return legs.withColumns({
-        "group_qty": F.sum("qty").over(so_far) + F.when(F.coalesce(twin, F.lit(False)) & (F.col("leg") == 0), F.col("qty")).otherwise(0),
-        "total_qty": F.sum(F.when(F.col("leg") == 0, F.col("qty")).otherwise(0)).over(everyone),
-    }).withColumn("share", F.col("group_qty") / F.col("total_qty"))
+    legs = legs.withColumn("group_qty", F.col("group_qty") + F.col("_twin")).drop("_twin", "_traded", "_place")
+    return legs.withColumn("share", F.col("group_qty") / F.col("total_qty"))
 
 
 def marking_the_close(executions: DataFrame, entities: DataFrame, close: DataFrame, window_ns: int = 300_000_000_000, share: float = 0.4, min_group: int = 100, min_total: int = 500) -> DataFrame:
@@ -112,8 +115,7 @@ def marking_the_close(executions: DataFrame, entities: DataFrame, close: DataFra
     require_unlabelled(executions)
     legs = keep(closing_legs(executions, entities, close, window_ns))  # read four times below
     passed = legs.filter((F.col("group_qty") >= min_group) & (F.col("total_qty") >= min_total) & (F.col("share") >= share))
-    order = Window.partitionBy("instrument_id", "component").orderBy("timestamp_ns", "idx", "leg")
-    fired = passed.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    fired = passed.groupBy("instrument_id", "component").agg(F.min_by(F.struct(*(c for c in passed.columns if c not in ("instrument_id", "component"))), "at").alias("f")).select("instrument_id", "component", "f.*")
     names = fired.select("instrument_id", "component", F.col("at").alias("fired_at"))
     seen = legs.select("component", "account", "first_seen").distinct()
     members = names.join(seen, "component").filter(F.col("first_seen") <= F.col("fired_at")).groupBy("instrument_id", "component").agg(F.sort_array(F.collect_set("account")).alias("members"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapewatch.functions.running import running_sums
 from tapewatch.functions.storage import keep, numbered
 from tapewatch.operators import book, book_sets, detectors, keyed, relations, reports
 from tapewatch.sources import adapter
@@ -180,27 +181,25 @@ def queue_position(spark, sf):
     return book.queue_positions(live_orders(spark, sf)).select("order_id", "instrument_id", "side", "price", "remaining", "queue_position", "qty_ahead")
 
 
-def signed_deltas(spark: SparkSession, sf: str) -> DataFrame:
+def signed_deltas(events: DataFrame) -> DataFrame:
     """Every event with the quantity that it adds to its level; cancels of this flow take all of it."""
-    delta = F.when(F.col("status") == "New", F.col("qty")).otherwise(-F.col("qty"))
-    return adapter.order_events(spark, sf).withColumn("delta", delta)
+    return events.withColumn("delta", F.when(F.col("status") == "New", F.col("qty")).otherwise(-F.col("qty")))
 
 
 def level_trace(spark, sf):
-    w = Window.partitionBy("instrument_id", "side", "price").orderBy("timestamp_ns", "is_exec", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    return signed_deltas(spark, sf).select("order_id", "kind", "status", "timestamp_ns", F.sum("delta").over(w).alias("level_qty"))
+    rows = running_sums(signed_deltas(booked(spark, sf)), ["instrument_id", "side", "price"], "sequence", {"level_qty": "delta"})
+    return rows.select("order_id", "kind", "status", "timestamp_ns", "level_qty")
 
 
 DELTA = ", dlt AS (SELECT *, CASE WHEN status = 'New' THEN qty ELSE -qty END AS delta FROM evs)"
 
 
 def concurrent_orders(spark, sf):
-    w = Window.partitionBy("account_id", "instrument_id", "side").orderBy("timestamp_ns", "is_exec", "idx").rowsBetween(Window.unboundedPreceding, 0)
     ends = adapter.executions(spark, sf).join(adapter.orders(spark, sf).select("order_id", F.col("qty").alias("order_qty")), "order_id").filter("qty = order_qty")
-    base = adapter.order_events(spark, sf)
-    left = base.join(ends.select("trade_id", F.lit(True).alias("full")), "trade_id", "left")
+    left = booked(spark, sf).join(ends.select("trade_id", F.lit(True).alias("full")), "trade_id", "left")
     step = F.when(F.col("status") == "New", 1).when(F.col("status") == "Cancelled", -1).when(F.col("full"), -1).otherwise(0)
-    return left.withColumn("step", step).select("order_id", "kind", "status", "timestamp_ns", F.sum("step").over(w).alias("concurrent"))
+    rows = running_sums(left.withColumn("step", step), ["account_id", "instrument_id", "side"], "sequence", {"concurrent": "step"})
+    return rows.select("order_id", "kind", "status", "timestamp_ns", "concurrent")
 
 
 def book_trace(spark, sf):
