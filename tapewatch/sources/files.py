@@ -76,6 +76,20 @@ def labelled_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*plain, label.alias("ground_truth_label"))).alias("value"))
 
 
+def labelled_documents(orders: DataFrame, executions: DataFrame, documents: int) -> DataFrame:
+    """part and value: so many JSON objects {"orders": [...], "executions": [...]}, which share all rows by the hash of their order's id.
+
+    Readers take one object a file, so write them partitioned by part.
+    """
+    part = F.pmod(F.xxhash64("order_id"), F.lit(documents)).alias("part")
+    none = F.lit(None).cast("string")
+    lines = labelled_lines(orders.withColumn("part", part)).select("value", none.alias("done")), labelled_lines(executions.withColumn("part", part)).select(none.alias("value"), F.col("value").alias("done"))
+    both = lines[0].unionByName(lines[1])
+    number = F.get_json_object(F.coalesce("value", "done"), "$.part")
+    whole = both.groupBy(number.alias("part")).agg(F.array_join(F.collect_list("value"), ",").alias("o"), F.array_join(F.collect_list("done"), ",").alias("e"))
+    return whole.select("part", F.concat(F.lit('{"orders": ['), "o", F.lit('], "executions": ['), "e", F.lit("]}")).alias("value"))
+
+
 def time_us(text) -> F.Column:
     """HH:MM:SS with decimals as microseconds of the day; further decimals are cut."""
     part = lambda i: F.regexp_extract(text, r"^(\d+):(\d+):(\d+)(?:\.(\d+))?$", i)

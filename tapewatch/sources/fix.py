@@ -80,21 +80,31 @@ def decode(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
     return out.withColumn("error", F.coalesce(problem(raw), F.when(F.col("kind").isNotNull() & (missing != ""), F.concat(F.lit("missing "), missing))))
 
 
-def encode(events: DataFrame, seq_col: str = "seq", sender: str = "SIM", target: str = "SURV") -> DataFrame:
+def encode(events: DataFrame, seq_col: str = "seq", sender: str = "SIM", target: str = "SURV", dialect: str = "text") -> DataFrame:
     """seq and raw: events (EVENT columns, and venue and order_type) as FIX text, replaces left out.
 
-    Text dialect: times in milliseconds, prices with eight decimals.
+    Dialect "text": times in milliseconds, a fill's venue in ExDestination and its counterparty in a single ContraBroker. Dialect
+    "object": times in nanoseconds, the venue in LastMkt and the counterparty in a group of one
+    (NoContraBrokers), with ExecTransType and the client's order id. Prices have eight decimals in both.
     """
+    if dialect not in ("text", "object"):
+        raise ValueError(f"no such dialect: {dialect}")
+    objects = dialect == "object"
     rows = events.filter("status != 'Replaced'")
     is_exec, new = F.col("kind") == "execution", F.col("status") == "New"
     tag = lambda t, v: F.concat(F.lit(f"{t}="), v.cast("string") if not isinstance(v, str) else F.lit(v), F.lit(SOH))
     price = F.format_string("%.8f", "price")
     side = F.when(F.col("side") == "Buy", "1").otherwise("2")
-    time = utc_text(F.col("timestamp_ns"), 3)
+    time = utc_text(F.col("timestamp_ns"), 9 if objects else 3)
     common = F.concat(tag(1, F.col("account_id")), tag(55, F.col("instrument_id")))
     order = F.concat(tag(11, F.col("order_id")), common, tag(54, side), tag(38, F.col("qty")), tag(40, F.when(F.col("order_type") == "Market", "1").otherwise("2")), tag(44, price), tag(60, time), tag(100, F.coalesce("venue", F.lit(""))))
     cancel = F.concat(tag(11, F.col("order_id")), tag(41, F.col("orig_order_id")), common, tag(54, side), tag(38, F.col("qty")), tag(60, time))
     fill = F.concat(tag(37, F.col("order_id")), tag(17, F.col("trade_id")), common, tag(150, "F"), tag(39, "2"), tag(32, F.col("qty")), tag(31, price), tag(14, F.col("qty")), tag(151, "0"), tag(6, price), tag(375, F.coalesce("counterparty_account_id", F.lit(""))), tag(60, time), tag(100, F.coalesce("venue", F.lit(""))))
+    if objects:
+        fill = F.concat(
+            tag(37, F.col("order_id")), tag(11, F.col("order_id")), tag(17, F.col("trade_id")), tag(20, "0"), common, tag(54, side), tag(150, "2"), tag(39, "2"), tag(32, F.col("qty")), tag(31, price), tag(30, F.coalesce("venue", F.lit(""))),
+            tag(14, F.col("qty")), tag(151, "0"), tag(6, price), tag(60, time), tag(382, "1"), tag(375, F.coalesce("counterparty_account_id", F.lit(""))),
+        )
     kind = F.when(is_exec, "8").when(new, "D").otherwise("F")
     body = F.concat(tag(35, kind), tag(49, sender), tag(56, target), tag(34, F.col(seq_col)), tag(52, time), F.when(is_exec, fill).when(new, order).otherwise(cancel))
     whole = F.concat(F.lit(f"8=FIX.4.2{SOH}9="), F.octet_length(body).cast("string"), F.lit(SOH), body)
