@@ -37,7 +37,9 @@ def utc_text(ns: Column, digits: int = 9) -> Column:
 
 
 def byte_sum(text: Column) -> Column:
-    return F.aggregate(F.split(F.hex(text.cast("binary")), r"(?<=\G..)"), F.lit(0), lambda a, h: a + F.coalesce(F.conv(F.nullif(h, F.lit("")), 16, 10).cast("int"), F.lit(0)))
+    """The sum of a text's bytes: as Latin-1, every byte is a letter whose code is its value."""
+    letters = F.split(F.decode(text.cast("binary"), "ISO-8859-1"), "")
+    return F.aggregate(letters, F.lit(0), lambda a, c: a + F.ascii(c))
 
 
 def problem(raw: Column) -> Column:
@@ -107,8 +109,10 @@ def encode(events: DataFrame, seq_col: str = "seq", sender: str = "SIM", target:
         )
     kind = F.when(is_exec, "8").when(new, "D").otherwise("F")
     body = F.concat(tag(35, kind), tag(49, sender), tag(56, target), tag(34, F.col(seq_col)), tag(52, time), F.when(is_exec, fill).when(new, order).otherwise(cancel))
-    whole = F.concat(F.lit(f"8=FIX.4.2{SOH}9="), F.octet_length(body).cast("string"), F.lit(SOH), body)
-    return rows.select(F.col(seq_col), F.concat(whole, F.lit("10="), F.format_string("%03d", byte_sum(whole) % 256), F.lit(SOH)).alias("raw"))
+    # In steps, as each is used twice by the next.
+    bodies = rows.select(F.col(seq_col), body.alias("body"))
+    wholes = bodies.select(seq_col, F.concat(F.lit(f"8=FIX.4.2{SOH}9="), F.octet_length("body").cast("string"), F.lit(SOH), "body").alias("whole"))
+    return wholes.select(seq_col, F.concat("whole", F.lit("10="), F.format_string("%03d", byte_sum(F.col("whole")) % 256), F.lit(SOH)).alias("raw"))
 
 
 def sequence_gaps(decoded: DataFrame, session_col: str) -> DataFrame:
