@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ def create_tables(spark: SparkSession, database: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name, columns in TABLES.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet PARTITIONED BY (event_date)")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.alert_status (alert_id bigint, version bigint, status string) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.alert_status (alert_id bigint, version bigint, status string) USING json")
 
 
 def empty_tables(spark: SparkSession, database: str) -> None:
@@ -30,14 +33,49 @@ def alive(spark: SparkSession) -> bool:
     return spark.sql("SELECT 1").first()[0] == 1
 
 
-def set_status(spark: SparkSession, database: str, alert_id: int, status: str) -> None:
-    """Append a case's new status; ValueError for an unknown status, KeyError for an unknown alert."""
+def created(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file that must not exist yet; False if it does. Of several writers one succeeds, as the store creates it exclusively."""
+    if path.startswith("file:"):
+        local = path.removeprefix("file:")
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            with open(local, "x") as f:
+                f.write(text)
+        except FileExistsError:
+            return False
+        return True
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    except Exception as e:
+        if "AlreadyExists" not in str(e):
+            raise
+        return False
+    out.write(text.encode())
+    out.close()
+    return True
+
+
+def set_status(spark: SparkSession, database: str, alert_id: int, status: str, tries: int = 1000) -> int:
+    """Append a case's new status and return its version; ValueError for an unknown status, KeyError for an unknown alert.
+
+    Each version of a case is a file of the table alert_status, named by both. A writer that finds that another one took the version
+    after the last takes the next one, so that no change is lost and none overwrites another.
+    """
     if status not in CASE_STATUSES:
         raise ValueError(f"no such status: {status}")
     if not spark.table(f"{database}.alerts").filter(F.col("alert_id") == alert_id).limit(1).count():
         raise KeyError(alert_id)
-    last = spark.table(f"{database}.alert_status").filter(F.col("alert_id") == alert_id).agg(F.max("version")).first()[0] or 0
-    spark.createDataFrame([(alert_id, last + 1, status)], "alert_id bigint, version bigint, status string").write.insertInto(f"{database}.alert_status")
+    name = f"{database}.alert_status"
+    folder = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first().data_type
+    spark.catalog.refreshTable(name)
+    version = spark.table(name).filter(F.col("alert_id") == alert_id).agg(F.max("version")).first()[0] or 0
+    for _ in range(tries):
+        version += 1
+        if created(spark, f"{folder}/case-{alert_id}-{version}.json", json.dumps({"alert_id": alert_id, "version": version, "status": status})):
+            spark.catalog.refreshTable(name)
+            return version
+    raise RuntimeError(f"no free version for alert {alert_id} after {tries} tries")
 
 
 def system_status(alerts: DataFrame, scored: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tables, reports and scalar expressions."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,22 @@ def test_tables(spark):
     assert spark.table("surveillance.alerts").count() == 0 and reports.system_status(spark.table("surveillance.alerts")).first().n_alerts == 0
 
 
+def test_no_status_is_lost_among_several_writers(spark):
+    reports.create_tables(spark, "cases")
+    rows = spark.createDataFrame([(k, "WashTradeDetector", 1.0, "A", ["X"], ["O"], 5, 6_000_000_000, "e", None, None) for k in (1, 2)], ", ".join(reports.ALERT_TABLE.split(", ")[:-2]))
+    files.with_event_time(rows, "window_end_ns").write.insertInto("cases.alerts")
+    work = [(1 + k % 2, status) for k, status in enumerate(["ESCALATED", "CLOSED", "OPEN", "UNDER_REVIEW"] * 4)]
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda w: reports.set_status(spark, "cases", *w), work))
+    for alert in (1, 2):
+        assert sorted(v for (a, _), v in zip(work, versions) if a == alert) == list(range(1, 9))
+    got = {(r.alert_id, r.version): r.status for r in spark.table("cases.alert_status").collect()}
+    assert got == {(a, v): status for (a, status), v in zip(work, versions)}
+    assert not reports.created(spark, spark.sql("DESCRIBE TABLE EXTENDED cases.alert_status").filter("col_name = 'Location'").first().data_type + "/case-1-1.json", "")
+    reports.empty_tables(spark, "cases")
+    assert spark.table("cases.alert_status").count() == 0
+
+
 def test_reports(spark):
     rows = spark.createDataFrame([("d", "A", True, 0.9), ("d", "B", True, None), ("d", "C", True, None), ("e", "X", False, None)], "detector_name string, id string, is_abuse boolean, score double")
     got = {(r := json.loads(x.json))["detector_name"]: r for x in reports.evaluation_json(evaluation.confusion(rows, F.lit(0.5))).collect()}
