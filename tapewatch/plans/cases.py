@@ -12,12 +12,24 @@ from tapewatch.plans.surveillance import A7, ALERTS, BASE, all_alerts, flat, seq
 from tapewatch.sources import adapter
 
 AL = BASE + ALERTS
-_store: dict[tuple[str, str], DataFrame] = {}
+_store: dict[tuple, DataFrame] = {}
+#: Windows below this score raise no anomaly alert.
+ML_THRESHOLD = 0.7
+
+
+def input_state(spark: SparkSession, sf: str) -> tuple:
+    """Names, sizes and times of the files that the flow is derived from."""
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for name in sorted(spark.read.parquet(f"{sf}/events.parquet").inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
 
 
 def stored_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """The alert table of this application: detection runs once, and the store's queries read what it wrote."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The alert table of this application: detection runs once for the same input files, and the store's queries read what it wrote."""
+    key = (spark.sparkContext.applicationId, input_state(spark, sf))
     if key not in _store:
         _store[key] = keep(all_alerts(spark, sf))
     return _store[key]
@@ -106,8 +118,17 @@ def universes(spark, sf):
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """The five detectors that name orders or trades; the anomaly detector's windows are measured by ml_sweep."""
-    return evaluation.outcomes(evaluation.universes(labelled(spark, sf)), stored_alerts(spark, sf))
+    """What each detector found: five name orders or trades, and the anomaly detector's windows are held against the abuse of the minute up to them."""
+    named = evaluation.outcomes(evaluation.universes(labelled(spark, sf)), stored_alerts(spark, sf))
+    raised = F.when(F.col("anomaly_score") >= ML_THRESHOLD, F.col("anomaly_score"))
+    windows = scored_windows(spark, sf).select("detector_name", F.col("seq").cast("string").alias("id"), "is_abuse", raised.alias("score"))
+    return named.unionByName(windows)
+
+
+def scored_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Flow windows with their score, and whether their account's labelled abuse in the instrument lies in the minute up to them."""
+    abuse = labelled(spark, sf).filter("status = 'New' and gt_pattern != 'None'")
+    return evaluation.window_truth(keep(ml_scores(spark, sf)), abuse).withColumn("detector_name", F.lit("MlAnomalyDetector"))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -122,12 +143,19 @@ def threshold_sweep(spark, sf):
     return rounded(evaluation.threshold_sweep(outcomes(spark, sf), [0.0, 0.25, 0.5, 0.75, 1.0]))
 
 
-EVAL = AL + """, ids AS (SELECT DISTINCT 'execution' AS universe, trade_id AS id, event_id % 20 AS k FROM exe UNION ALL SELECT DISTINCT 'new', order_id, event_id % 20 FROM ord UNION ALL SELECT DISTINCT 'cancel', order_id, event_id % 20 FROM can),
+#: The chained windows of each account and instrument; follows sq, and needs WITH RECURSIVE.
+FLOW = """step AS MATERIALIZED (SELECT account_id, instrument_id, seq, timestamp_ns, qty, CASE WHEN status = 'New' THEN 1 ELSE 0 END AS is_new, row_number() OVER (PARTITION BY account_id, instrument_id ORDER BY seq) AS i FROM sq WHERE kind = 'order'),
+      flow AS (SELECT *, timestamp_ns AS started, is_new AS n, is_new * qty AS total, 1 - is_new AS gone FROM step WHERE i = 1
+        UNION ALL SELECT s.*, CASE WHEN anew THEN s.timestamp_ns ELSE started END, CASE WHEN anew THEN 0 ELSE n END + s.is_new, CASE WHEN anew THEN 0 ELSE total END + s.is_new * s.qty, CASE WHEN anew THEN 0 ELSE gone END + 1 - s.is_new
+        FROM (SELECT f.*, s AS s, s.timestamp_ns < f.started OR s.timestamp_ns - f.started > 60000000000 AS anew FROM flow f JOIN step s ON s.account_id = f.account_id AND s.instrument_id = f.instrument_id AND s.i = f.i + 1) x)"""
+EVAL = AL.replace("WITH ord", "WITH RECURSIVE ord", 1) + ", " + FLOW + """, ids AS (SELECT DISTINCT 'execution' AS universe, trade_id AS id, event_id % 20 AS k FROM exe UNION ALL SELECT DISTINCT 'new', order_id, event_id % 20 FROM ord UNION ALL SELECT DISTINCT 'cancel', order_id, event_id % 20 FROM can),
 spec AS (SELECT * FROM (VALUES ('WashTradeDetector', 'execution', 0), ('SpoofingLayeringDetector', 'cancel', 1), ('MarkingTheCloseDetector', 'execution', 2), ('FrontRunningDetector', 'new', 3), ('StatisticalBaselineDetector', 'new', -1)) v(detector_name, universe, target)),
 fl AS (SELECT detector_name, id, max(score) AS score FROM (
   SELECT detector_name, score, unnest(string_split(order_ids, ',')) AS id FROM al) x GROUP BY 1, 2),
 oc AS (SELECT s.detector_name, i.id, CASE WHEN s.target = -1 THEN i.k < 4 ELSE i.k = s.target END AS y, coalesce(f.score, -1) AS score
-  FROM ids i JOIN spec s ON i.universe = s.universe LEFT JOIN fl f ON f.detector_name = s.detector_name AND f.id = i.id)"""
+  FROM ids i JOIN spec s ON i.universe = s.universe LEFT JOIN fl f ON f.detector_name = s.detector_name AND f.id = i.id
+  UNION ALL SELECT 'MlAnomalyDetector', CAST(seq AS VARCHAR), EXISTS (SELECT 1 FROM ord a WHERE a.event_id % 20 < 4 AND a.account_id = flow.account_id AND a.instrument_id = flow.instrument_id AND a.timestamp_ns BETWEEN flow.timestamp_ns - 60000000000 AND flow.timestamp_ns), -1
+  FROM flow WHERE n >= 5 AND n % 5 = 0)"""
 MATRIX = """SELECT *, round(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0), 6) AS f1,
   round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM ("""
 
@@ -254,9 +282,7 @@ def ml_alerts(spark, sf):
 
 def ml_sweep(spark, sf):
     """Scored windows against labelled abuse in the minute up to them, at several thresholds."""
-    scored = keep(ml_scores(spark, sf))
-    abuse = labelled(spark, sf).filter("status = 'New' and gt_pattern != 'None'")
-    rows = evaluation.window_truth(scored, abuse).select(F.lit("MlAnomalyDetector").alias("detector_name"), "is_abuse", F.col("anomaly_score").alias("score"))
+    rows = scored_windows(spark, sf).select("detector_name", "is_abuse", F.col("anomaly_score").alias("score"))
     return rounded(evaluation.threshold_sweep(rows, [0.0, 0.4, 0.5, 0.6, 0.7, 0.8]))
 
 
@@ -287,11 +313,7 @@ ORACLE = {
       unit AS (SELECT *, CASE WHEN ns < 1000 THEN 1 WHEN ns < 1000000 THEN 1000 WHEN ns < 1000000000 THEN 1000000 ELSE 1000000000 END AS u FROM gap),
       cent AS (SELECT *, (ns * 100 + u // 2) // u AS h FROM unit)
       SELECT alert_id, replace(evidence, ' ' || CAST(ns AS VARCHAR) || 'ns after', ' ' || CASE u WHEN 1 THEN CAST(ns AS VARCHAR) || 'ns' ELSE CAST(h // 100 AS VARCHAR) || '.' || lpad(CAST(h % 100 AS VARCHAR), 2, '0') || CASE u WHEN 1000 THEN 'µs' WHEN 1000000 THEN 'ms' ELSE 's' END END || ' after') AS evidence FROM cent""",
-    "ml_features": BASE.replace("WITH ord", "WITH RECURSIVE ord", 1) + """, sq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY timestamp_ns, is_exec, idx) AS seq FROM evs),
-      step AS MATERIALIZED (SELECT account_id, instrument_id, seq, timestamp_ns, qty, CASE WHEN status = 'New' THEN 1 ELSE 0 END AS is_new, row_number() OVER (PARTITION BY account_id, instrument_id ORDER BY seq) AS i FROM sq WHERE kind = 'order'),
-      flow AS (SELECT *, timestamp_ns AS started, is_new AS n, is_new * qty AS total, 1 - is_new AS gone FROM step WHERE i = 1
-        UNION ALL SELECT s.*, CASE WHEN anew THEN s.timestamp_ns ELSE started END, CASE WHEN anew THEN 0 ELSE n END + s.is_new, CASE WHEN anew THEN 0 ELSE total END + s.is_new * s.qty, CASE WHEN anew THEN 0 ELSE gone END + 1 - s.is_new
-        FROM (SELECT f.*, s AS s, s.timestamp_ns < f.started OR s.timestamp_ns - f.started > 60000000000 AS anew FROM flow f JOIN step s ON s.account_id = f.account_id AND s.instrument_id = f.instrument_id AND s.i = f.i + 1) x)
+    "ml_features": BASE.replace("WITH ord", "WITH RECURSIVE ord", 1) + """, sq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY timestamp_ns, is_exec, idx) AS seq FROM evs), """ + FLOW + """
       SELECT account_id, instrument_id, seq, timestamp_ns, CAST(n AS BIGINT) AS order_count, CAST(total AS BIGINT) AS total_qty, CAST(total AS DOUBLE) / n AS avg_qty, CAST(gone AS DOUBLE) / n AS cancel_ratio, n / 6e1 AS orders_per_second FROM flow WHERE n >= 5 AND n % 5 = 0""",
     "case_status": AL + " SELECT coalesce(s.status, 'OPEN') AS status, count(*) AS n, min(al.alert_id) AS first_alert FROM al LEFT JOIN (VALUES (1, 'ESCALATED'), (2, 'OPEN'), (5, 'CLOSED')) s(alert_id, status) ON al.alert_id = s.alert_id GROUP BY 1",
     "universes": BASE + """ SELECT universe, CASE k WHEN 0 THEN 'WashTrade' WHEN 1 THEN 'SpoofingLayering' WHEN 2 THEN 'MarkingTheClose' WHEN 3 THEN 'FrontRunning' ELSE 'None' END AS pattern, count(DISTINCT order_id) AS n_ids
