@@ -48,6 +48,22 @@ def running_sums(rows: DataFrame, keys: list[str], at: str, sums: dict[str, str]
     return met.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).drop("_block", *(f"_{name}" for name in sums))
 
 
+def last_before(rows: DataFrame, keys: list[str], at: str, columns: dict[str, str], bits: int = BLOCK_BITS) -> DataFrame:
+    """rows (read twice) with the last value that isn't null of each column in columns (new name: column) before the row, by the position at.
+
+    As in running_sums, a block's rows meet in one task, and of each block its last values go on.
+    """
+    rows = rows.withColumn("_block", F.shiftright(at, bits))
+    by = [*keys, "_block"]
+    inside = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumns({name: F.last(c, ignorenulls=True).over(inside) for name, c in columns.items()})
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(f"_{name}") for name, c in columns.items()))
+    ends = ends.select(*by, *(F.last(f"_{name}", ignorenulls=True).over(before).alias(f"_{name}") for name in columns))
+    met = join_keys(own, ends, by)
+    return met.withColumns({name: F.coalesce(name, f"_{name}") for name in columns}).drop("_block", *(f"_{name}" for name in columns))
+
+
 def best_covers(points: DataFrame, spans: DataFrame, top: int, bits: int = 6) -> DataFrame:
     """points (key, at and any more) with bid and ask: the largest worth of the spans of their side that cover them.
 

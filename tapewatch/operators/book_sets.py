@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-from tapewatch.functions.running import best_covers, let, running_sums, with_position
+from tapewatch.functions.running import best_covers, last_before, let, running_sums, with_position
+from tapewatch.functions.scalars import clamp01, fixed6
 from tapewatch.functions.schemas import require_unlabelled
 from tapewatch.functions.storage import keep
 from tapewatch.operators.components import component_labels
 
 RESTING = "struct<id:string,side:string,price:double,account:string,qty:bigint,prio:bigint>"
+WATCHED = "struct<id:string,since:bigint,left:bigint>"
 
 
 def node(id_: Column) -> Column:
@@ -47,6 +49,8 @@ def applied(state: Column, e: Column) -> Column:
 
     A replace at another price or of more quantity goes to the back (prio is its own number); any other keeps its order's place. A
     replace that goes to the back takes its order out even if its new id is resting already and it is rejected.
+    Beside the book stand the orders as detectors see them, who hear of accepted events alone: since is the event that
+    placed each under its id, and ended the since of the one that an event ended.
     """
     nothing = F.lit(None).cast(RESTING)
 
@@ -66,10 +70,16 @@ def applied(state: Column, e: Column) -> Column:
         def step(s: Column) -> Column:
             left = F.when(s["take"], F.filter(state["book"], lambda x: x["id"] != held["id"])).otherwise(state["book"])
             book = F.when(s["add"].isNotNull(), F.concat(left, F.array(s["add"]))).otherwise(left)
-            entry = F.struct(e.alias("event"), skipped.alias("skipped"), F.when(s["take"], held).otherwise(nothing).alias("taken"), s["add"].alias("added"))
-            return F.struct(book.alias("book"), F.concat(state["out"], F.array(entry)).alias("out"))
+            done_all = F.filter(state["watch"], lambda w: (w["id"] == target(e)) & (~done | (w["left"] <= e["qty"])))
+            ended = F.when(~s["skipped"] & ~new, F.get(done_all, F.lit(0))["since"])
+            begun = F.array(F.struct(e["order_id"].alias("id"), e["seq"].alias("since"), e["qty"].alias("left")))
+            others = F.filter(state["watch"], lambda w: ~(w["since"].eqNullSafe(ended)) & ~((new | change) & (w["id"] == e["order_id"])))
+            fewer = F.transform(others, lambda w: F.struct(w["id"].alias("id"), w["since"].alias("since"), F.when(done & (w["id"] == e["order_id"]), w["left"] - e["qty"]).otherwise(w["left"]).alias("left")))
+            watch = F.when(s["skipped"], state["watch"]).when(new | change, F.concat(others, begun)).otherwise(fewer)
+            entry = F.struct(e.alias("event"), s["skipped"].alias("skipped"), F.when(s["take"], held).otherwise(nothing).alias("taken"), s["add"].alias("added"), ended.alias("ended"))
+            return F.struct(book.alias("book"), watch.alias("watch"), F.concat(state["out"], F.array(entry)).alias("out"))
 
-        return let(F.struct(F.coalesce(take, F.lit(False)).alias("take"), add.alias("add")), step)
+        return let(F.struct(F.coalesce(take, F.lit(False)).alias("take"), add.alias("add"), F.coalesce(skipped, F.lit(True)).alias("skipped")), step)
 
     return let(F.get(F.filter(state["book"], lambda x: x["id"] == target(e)), F.lit(0)), with_held)
 
@@ -83,17 +93,17 @@ def folded(events: DataFrame) -> DataFrame:
     event = events.select(F.struct(*columns).alias("e")).schema["e"].dataType.simpleString()
     lives = family_of(require_unlabelled(events)).groupBy("instrument_id", "family").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("life"))
     nothing = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
-    start = F.struct(nothing(RESTING).alias("book"), nothing(f"struct<event:{event},skipped:boolean,taken:{RESTING},added:{RESTING}>").alias("out"))
+    start = F.struct(nothing(RESTING).alias("book"), nothing(WATCHED).alias("watch"), nothing(f"struct<event:{event},skipped:boolean,taken:{RESTING},added:{RESTING},ended:bigint>").alias("out"))
     return keep(lives.select("instrument_id", "family", F.aggregate("life", start, applied).alias("f")).select("instrument_id", "family", "f.book", "f.out"))
 
 
 def effects(done: DataFrame) -> DataFrame:
     """The folded events with skipped, taken and added."""
-    return done.select("instrument_id", F.explode("out").alias("o")).select("instrument_id", "o.event.*", "o.skipped", "o.taken", "o.added")
+    return done.select("instrument_id", F.explode("out").alias("o")).select("instrument_id", "o.event.*", "o.skipped", "o.taken", "o.added", "o.ended")
 
 
-def level_changes(events: DataFrame) -> DataFrame:
-    """A row for each event and level that it names or changes: dq and dn are what its quantity and its orders gain."""
+def level_changes(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each event and level that it names or changes: dq and dn are what its quantity and its orders gain. carry names more columns to keep."""
     own = lambda x: F.coalesce((F.col(f"{x}.side") == F.col("side")) & F.col(f"{x}.price").eqNullSafe(F.col("price")), F.lit(False))
     both = F.coalesce((F.col("taken.side") == F.col("added.side")) & F.col("taken.price").eqNullSafe(F.col("added.price")), F.lit(False))
     gain = lambda t, a, of: F.when(a, of("added")).otherwise(0) - F.when(t, of("taken")).otherwise(0)
@@ -105,7 +115,7 @@ def level_changes(events: DataFrame) -> DataFrame:
         F.when(F.col("taken").isNotNull() & ~own("taken"), entry(F.col("taken.side"), F.col("taken.price"), yes, both, False)),
         F.when(F.col("added").isNotNull() & ~own("added") & ~both, entry(F.col("added.side"), F.col("added.price"), no, yes, False)),
     )
-    more = ("instrument_id", "sequence", "seq", "skipped", "timestamp_ns")
+    more = ("instrument_id", "sequence", "seq", "skipped", "timestamp_ns", *carry)
     return events.select(*more, F.explode(F.array_compact(entries)).alias("l")).select(*more, "l.*")
 
 
@@ -128,13 +138,74 @@ def trace(events: DataFrame) -> DataFrame:
     Each family is folded by itself; level totals are running sums over blocks of events, and best prices are looked up among the spans in which
     levels held orders. So one instrument's events are shared by all tasks.
     """
-    used = events.select("instrument_id", "seq", "kind", "status", "order_id", "orig_order_id", "side", "price", "qty", "account_id", "timestamp_ns")
-    changes = level_changes(effects(folded(with_position(used, ["instrument_id"], ["seq"], "sequence"))))
+    return traced(events).drop("side", "price")
+
+
+def traced(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """trace with side and price, and with the columns in carry; events may bring their sequence with them."""
+    used = events.select("instrument_id", "seq", "kind", "status", "order_id", "orig_order_id", "side", "price", "qty", "account_id", "timestamp_ns", *(c for c in ("sequence",) if c in events.columns))
+    changes = level_changes(effects(folded(used if "sequence" in used.columns else with_position(used, ["instrument_id"], ["seq"], "sequence"))), carry)
     states = keep(running_sums(changes, ["instrument_id", "side", "price"], "sequence", {"level_qty": "dq", "level_orders": "dn"}))
     top = states.agg(F.max("sequence")).first()[0] or 0
-    points = states.filter("named").select(F.col("instrument_id").alias("key"), F.col("sequence").alias("at"), "seq", "skipped", "level_qty", "level_orders", "timestamp_ns")
-    best = best_covers(points, level_spans(states, top), top)
-    return best.select(F.col("key").alias("instrument_id"), "seq", F.col("at").alias("sequence"), "skipped", F.col("bid").alias("best_bid"), (-F.col("ask")).alias("best_ask"), "level_qty", "level_orders", "timestamp_ns")
+    points = states.filter("named").withColumnsRenamed({"instrument_id": "key", "sequence": "at"}).drop("dq", "dn", "named")
+    best = best_covers(points, level_spans(states, top), top).withColumnsRenamed({"key": "instrument_id", "at": "sequence", "bid": "best_bid"})
+    return best.withColumn("best_ask", -F.col("ask")).drop("ask")
+
+
+def spoof_scores(events: DataFrame, threshold: float = 0.6, slow_ns: int = 5_000_000_000, window_ns: int = 30_000_000_000) -> DataFrame:
+    """A row for each accepted cancel of a resting order, scored by its share of its level, its haste, what the other side's best price did, and how many orders
+    of its side the account has beside those that others usually have. The rows of book.replay(events, "scores") where time never goes back in an instrument.
+
+    Counts of the last window_ns are differences of two running sums: at the cancel, and at a mark that stands window_ns earlier among the events. The mean over
+    other accounts is the difference of all and own. No task has more than blocks of an instrument's rows.
+    """
+    rows = keep(traced(events, ("kind", "status", "orig_order_id", "account_id", "qty", "ended")).filter("not skipped"))
+    placing = rows.filter("kind = 'order' and status in ('New', 'Replaced')")
+    depth = F.when(F.col("level_qty") != 0, F.col("qty") / F.col("level_qty")).otherwise(0.0)
+    born = placing.select(F.col("seq").alias("since"), F.col("account_id").alias("t_account"), F.col("side").alias("t_side"), F.col("timestamp_ns").alias("placed"), depth.alias("depth"), F.when(F.col("side") == "Buy", F.col("best_ask")).otherwise(F.col("best_bid")).alias("best_then"))
+    gone = keep(rows.filter("ended is not null").join(born, F.col("ended") == F.col("since")))
+    # How many orders an account has on a side after each event that changes it.
+    steps = placing.select("instrument_id", "account_id", "side", "sequence", F.lit(1).alias("step")).unionByName(gone.select("instrument_id", F.col("t_account").alias("account_id"), F.col("t_side").alias("side"), "sequence", F.lit(-1).alias("step")))
+    steps = keep(steps.groupBy("instrument_id", "account_id", "side", "sequence").agg(F.sum("step").alias("step")))
+    live = keep(running_sums(steps, ["instrument_id", "account_id", "side"], "sequence", {"live": "step"}).drop("step"))
+    samples = placing.select("instrument_id", "account_id", "side", "sequence", "timestamp_ns").join(live, ["instrument_id", "account_id", "side", "sequence"])
+    cancels = gone.filter("kind = 'order' and status = 'Cancelled' and timestamp_ns >= placed").select("instrument_id", "sequence", "seq", "timestamp_ns", "orig_order_id", "best_bid", "best_ask", "t_account", "t_side", "placed", "depth", "best_then")
+    cancels = keep(cancels.join(live.withColumnsRenamed({"account_id": "t_account", "side": "t_side", "live": "concurrent"}), ["instrument_id", "t_account", "t_side", "sequence"]))
+    known = last_before(rows.select("instrument_id", "sequence", "timestamp_ns", "best_bid", "best_ask"), ["instrument_id"], "sequence", {"bid_before": "best_bid", "ask_before": "best_ask"})
+    moved = lambda side: F.coalesce(F.col(f"best_{side}") != F.col(f"{side}_before"), F.lit(False)).cast("long")
+    # Every event that counts, each cancel, and its mark: at equal times marks come first, as what is window_ns old still counts.
+    none = F.lit(0).cast("long")
+    what = ("bids", "asks", "buy", "buys", "sell", "sells")
+    zero = {c: none for c in what}
+    row = lambda df, account, mark, ts, **values: df.select("instrument_id", ts.alias("timestamp_ns"), "sequence", F.lit(mark).alias("mark"), account.alias("account"), *(v.cast("long").alias(c) for c, v in (zero | values).items()))
+    ts, own = F.col("timestamp_ns"), lambda side, v: F.when(F.col("side") == side, v).otherwise(0)
+    line = row(known.withColumns({"b": moved("bid"), "a": moved("ask")}).filter("a + b > 0"), F.lit(None).cast("string"), 1, ts, bids=F.col("b"), asks=F.col("a"))
+    line = line.unionByName(row(samples, F.col("account_id"), 2, ts, buy=own("Buy", F.col("live")), buys=own("Buy", 1), sell=own("Sell", F.col("live")), sells=own("Sell", 1)))
+    line = line.unionByName(row(cancels, F.col("t_account"), 3, ts)).unionByName(row(cancels, F.col("t_account"), 0, ts - window_ns))
+    line = with_position(line, ["instrument_id"], ["timestamp_ns", F.when(F.col("mark") == 0, -1).otherwise(F.col("sequence")), "mark", "sequence"], "place")
+    line = keep(running_sums(line, ["instrument_id"], "place", {f"all_{c}": c for c in what}))
+    line = running_sums(line, ["instrument_id", "account"], "place", {f"own_{c}": c for c in what[2:]})
+    sums = [*(f"all_{c}" for c in what), *(f"own_{c}" for c in what[2:])]
+    line = keep(line.filter("mark in (0, 3)"))
+    lately = line.groupBy("instrument_id", "sequence").agg(*(F.sum(F.when(F.col("mark") == 3, F.col(c)).otherwise(-F.col(c))).alias(c) for c in sums))
+    buy = F.col("t_side") == "Buy"
+    pick = lambda c: F.when(buy, F.col(c.format("buy"))).otherwise(F.col(c.format("sell")))
+    others, n = pick("all_{}") - pick("own_{}"), pick("all_{}s") - pick("own_{}s")
+    dt, clamp = ts - F.col("placed"), clamp01
+    speed = clamp(1 - dt / slow_ns)
+    gap = F.when(buy, F.col("best_ask") - F.col("best_then")).otherwise(F.col("best_then") - F.col("best_bid"))
+    reacted = F.coalesce(gap >= 0.01, F.lit(False))
+    moves = F.when(buy, F.col("all_asks")).otherwise(F.col("all_bids"))
+    move = F.when(reacted, clamp(1 - moves / (window_ns / 1e9) * F.least(dt, F.lit(slow_ns)) / 1e9)).otherwise(0.0)
+    found = cancels.join(lately, ["instrument_id", "sequence"]).withColumns({"dt": dt, "speed": speed, "reacted": reacted, "move": move, "typical": F.when(n > 0, others / n).otherwise(0.0)})
+    found = found.withColumn("layering", clamp((F.col("concurrent") - F.col("typical")) / 3))
+    found = found.withColumn("score", clamp((F.col("depth") + F.col("speed") + F.col("move")) / 3 + 0.15 * F.col("layering")))
+    six = lambda name, c: F.concat(F.lit(f"{name}="), fixed6(F.col(c)))
+    said = F.concat_ws(
+        " ", six("depth_ratio", "depth"), six("speed", "speed"), F.concat(F.lit("opposite_price_moved_favorably="), F.col("reacted").cast("string")), six("move_score", "move"), F.concat(F.lit("concurrent_same_side_orders="), F.col("concurrent").cast("string")),
+        six("typical_concurrent", "typical"), six("layering_score", "layering"), F.concat(F.lit("time_in_book_ns="), F.col("dt").cast("string")),
+    )
+    return found.select("instrument_id", "seq", F.col("sequence").alias("book_snapshot_sequence"), "score", (F.col("score") >= threshold).alias("fired"), F.col("t_account").alias("account_id"), F.col("orig_order_id").alias("order_id"), F.col("placed").alias("window_start_ns"), ts.alias("window_end_ns"), said.alias("evidence"))
 
 
 def resting_orders(events: DataFrame) -> DataFrame:

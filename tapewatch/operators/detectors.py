@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapewatch.functions.running import running_sums, with_position
+from tapewatch.functions.scalars import fixed6
 from tapewatch.functions.schemas import require_unlabelled
 from tapewatch.functions.storage import keep
-from tapewatch.operators import anomaly, book
+from tapewatch.operators import anomaly, book, book_sets
 from tapewatch.operators.relations import account_components, is_related, relation_keys
 
 ORDER_COLS = ("timestamp_ns", "is_exec", "idx")
-
-
-def fixed6(x: Column) -> Column:
-    return F.format_string("%.6f", x)
+#: Events of an instrument that one task may replay: some minutes of work.
+KEYED_EVENTS = 5_000_000
 
 
 def alert(name: str, **columns) -> list[Column]:
@@ -133,9 +132,22 @@ def placed(found: DataFrame, events: DataFrame) -> DataFrame:
     return found.join(with_sequence(events).select("seq", *ORDER_COLS, "sequence"), "seq")
 
 
+def spoof_scores(events: DataFrame, threshold: float = 0.6, most: int = KEYED_EVENTS) -> DataFrame:
+    """book.SCORES of events (read several times) with seq. Both ways give the same rows.
+
+    An instrument of up to most events is replayed by one task's keyed state, which is the shorter way. Those with more are so few that their
+    names are broadcast, and go by joins and sums that all tasks share; in them time must not go back.
+    """
+    hot = keep(events.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("instrument_id"))
+    if not hot.limit(1).count():
+        return book.replay(events, "scores", threshold)
+    sets = book_sets.spoof_scores(events.join(F.broadcast(hot), "instrument_id", "left_semi"), threshold)
+    return book.replay(events.join(F.broadcast(hot), "instrument_id", "left_anti"), "scores", threshold).unionByName(sets)
+
+
 def spoofing(events: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Alerts of the keyed book and spoofing state over events with seq."""
-    rows = placed(book.replay(events, "scores", threshold).filter("fired"), events)
+    """Alerts of spoofing and layering over events with seq."""
+    rows = placed(spoof_scores(events, threshold).filter("fired"), events)
     return rows.select(*alert("SpoofingLayeringDetector", score=F.col("score"), instrument_id=F.col("instrument_id"), account_ids=F.array("account_id"), order_ids=F.array("order_id"), window_start_ns=F.col("window_start_ns"), window_end_ns=F.col("window_end_ns"), evidence=F.col("evidence"), book_snapshot_sequence=F.col("book_snapshot_sequence")), *ORDER_COLS, F.lit(0).alias("emission"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapewatch.functions.running import running_sums
+from tapewatch.functions.running import last_before, running_sums
 from tapewatch.functions.storage import keep, numbered
 from tapewatch.operators import book, book_sets, detectors, keyed, relations, reports
 from tapewatch.sources import adapter
@@ -208,11 +208,11 @@ def book_trace(spark, sf):
 
 def ambient_moves(spark, sf):
     """Changes of the best prices against the last ones known, and how many there were in the 30 s up to each event."""
-    so_far = Window.partitionBy("instrument_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     half_minute = Window.partitionBy("instrument_id").orderBy("timestamp_ns").rangeBetween(-30_000_000_000, 0)
-    rows = book_trace(spark, sf).filter("not skipped")
-    moved = lambda best: F.coalesce(F.col(best) != F.last(best, ignorenulls=True).over(so_far), F.lit(False))
-    rows = rows.withColumns({"moved": moved("best_bid"), "ask_moved": moved("best_ask")})
+    rows = keep(book_trace(spark, sf).filter("not skipped"))
+    rows = last_before(rows, ["instrument_id"], "sequence", {"bid_before": "best_bid", "ask_before": "best_ask"})
+    moved = lambda side: F.coalesce(F.col(f"best_{side}") != F.col(f"{side}_before"), F.lit(False))
+    rows = rows.withColumns({"moved": moved("bid"), "ask_moved": moved("ask")})
     lately = lambda c: F.sum(F.col(c).cast("long")).over(half_minute)
     return rows.select("instrument_id", "seq", "best_bid", "moved", lately("moved").alias("moves_30s"), "best_ask", "ask_moved", lately("ask_moved").alias("ask_moves_30s"))
 
@@ -227,11 +227,11 @@ def book_snapshots(spark, sf):
 
 
 def spoof_scores(spark, sf):
-    return book.replay(sequenced(spark, sf), "scores").withColumn("score", F.round("score", 6))
+    return book_sets.spoof_scores(sequenced(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 def spoof_alerts(spark, sf):
-    return spoof_scores(spark, sf).filter("fired").drop("fired")
+    return detectors.spoof_scores(sequenced(spark, sf)).withColumn("score", F.round("score", 6)).filter("fired").drop("fired")
 
 
 def front_running_stateful(spark, sf):

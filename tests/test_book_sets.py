@@ -9,7 +9,7 @@ import pytest
 from tapewatch.functions import running
 from tapewatch.functions.schemas import EVENT
 from tapewatch.functions.storage import keep
-from tapewatch.operators import book, book_sets
+from tapewatch.operators import book, book_sets, detectors
 from tapewatch.plans import surveillance
 from tests.test_book_and_spoofing import TEN
 
@@ -65,6 +65,14 @@ def test_trace_equals_the_keyed_book(spark, flow):
     assert {r.seq: r.level_orders for r in got.select("seq", "level_orders").collect()} == counts
 
 
+def test_spoofing_scores_equal_the_keyed_state(spark, flow):
+    events = event_rows(spark, flow)
+    exact = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select([c.split()[0] for c in book.SCORES.split(", ")]).collect())
+    got, want = exact(book_sets.spoof_scores(events)), exact(book.replay(events, "scores"))
+    assert got == want and len(want) > 50 and 0 < sum(r[4] for r in want) < len(want)
+    assert exact(detectors.spoof_scores(events, most=500)) == want == exact(detectors.spoof_scores(events))  # one of the two instruments has more
+
+
 def test_queue_keeps_and_loses_places(spark, flow):
     for events in (flow, TEN):
         books = defaultdict(book.Book)
@@ -117,3 +125,12 @@ def test_best_covers(spark, bits):
     best = lambda k, p, s: max((w for k2, s2, lo, hi, w in spans if k2 == k and s2 == s and lo <= p < hi), default=None)
     assert {(r.key, r["at"]): (r.bid, r.ask) for r in got} == {(k, p): (best(k, p, "Buy"), best(k, p, "Sell")) for k, p in points}
     assert len(got) == len(points)
+
+
+@pytest.mark.parametrize("bits", [1, 12])
+def test_last_before(spark, bits):
+    rng = random.Random(bits)
+    rows = [(rng.choice(["a", "b", None]), p, rng.choice([None, None, 1.0, 2.0])) for p in range(200)]
+    df = keep(spark.createDataFrame(rows, "k string, p bigint, v double"))
+    got = {r.p: r.last for r in running.last_before(df, ["k"], "p", {"last": "v"}, bits).collect()}
+    assert got == {p: next((v for k2, p2, v in reversed(rows[:p]) if k2 == k and v is not None), None) for k, p, _ in rows}

@@ -67,5 +67,8 @@ def test_scalars(spark):
     assert v(scalars.exponential_gap(F.lit(0.0), F.lit(3.0))) == 0 and len(v(scalars.config_version("v-", F.lit("x")))) == 14
     rates = spark.createDataFrame([(3, 0.8), (250, 0.016), (9, 0.5)], "rate int, precision double")
     assert round(scalars.first_over_last(rates, "rate", "precision").first().factor, 6) == 50
+    odd = [k / 640 for k in range(700)] + [(2 * k + 1) / 2e6 for k in range(0, 60_000, 7)] + [0.5**20, 1.5 * 0.5**7 / 1e6, 123456.7890625, -0.5203125, -0.0359375, 0.0, 3e8 + 0.3]
+    got = spark.createDataFrame([(float(x),) for x in odd], "x double").select("x", scalars.fixed6(F.col("x")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{r.x:.6f}" for r in got]
     shares = rates.withColumn("w", scalars.share_of_largest("precision"))
     assert max(r.w for r in shares.collect()) == 1.0
