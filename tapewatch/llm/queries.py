@@ -108,8 +108,16 @@ s AS (SELECT *, (v >> greatest(length(bin(v)) - 9, 0)) << greatest(length(bin(v)
 levels AS (SELECT 2 AS level, g0, g1, measure, bucket FROM s UNION ALL SELECT 1, g0, '', measure, bucket FROM s UNION ALL SELECT 0, '', '', measure, bucket FROM s),
 h AS (SELECT level, g0, g1, measure, bucket, count(*) AS n FROM levels GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY level, g0, g1, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, g0, g1, measure) AS all_n FROM h),
-q AS (SELECT level, g0, g1, measure, CAST(max(all_n) AS DOUBLE) AS k, min(bucket) FILTER (upto * 4 >= all_n) AS q1, min(bucket) FILTER (upto * 4 >= all_n * 3) AS q3 FROM r GROUP BY ALL),
-e AS (SELECT *, CAST(q3 + 3.0 * (q3 - q1) AS DOUBLE) AS high, CAST(q1 - 3.0 * (q3 - q1) AS DOUBLE) AS low FROM q),
+q AS (SELECT level, g0, g1, measure, min(bucket) FILTER (upto * 4 >= all_n) AS q1, min(bucket) FILTER (upto * 4 >= all_n * 3) AS q3 FROM r GROUP BY ALL),
+t AS (
+  SELECT level, g0, g1, measure, bucket, n, upto, all_n, q3 + 3.0 * (q3 - q1) AS top, q1 - 3.0 * (q3 - q1) AS bottom,
+    coalesce(sum(n) FILTER (bucket > q3 + 3.0 * (q3 - q1)) OVER w, 0) AS above, coalesce(sum(n) FILTER (bucket < q1 - 3.0 * (q3 - q1)) OVER w, 0) AS below
+  FROM r JOIN q USING (level, g0, g1, measure) WINDOW w AS (PARTITION BY level, g0, g1, measure)),
+u AS (
+  SELECT level, g0, g1, measure, CAST(max(all_n) AS DOUBLE) AS k, CAST(max(top) AS DOUBLE) AS top, CAST(max(bottom) AS DOUBLE) AS bottom,
+    min(bucket) FILTER (bucket > top AND (upto - all_n + above) * 10 >= above) AS nearest_above,
+    max(bucket) FILTER (bucket < bottom AND (below - upto + n) * 10 >= below) AS nearest_below FROM t GROUP BY ALL),
+e AS (SELECT *, top + coalesce(nearest_above - top, 0) * 0.25 AS high, bottom + coalesce(nearest_below - bottom, 0) * 0.25 AS low FROM u),
 f AS (
   SELECT a.g0, a.measure, (a.k * a.high + 20.0 * z.high) / (a.k + 20.0) AS high, (a.k * a.low + 20.0 * z.low) / (a.k + 20.0) AS low
   FROM e a JOIN e z ON a.level = 1 AND z.level = 0 AND a.measure = z.measure),

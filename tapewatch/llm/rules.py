@@ -11,9 +11,10 @@ from tapewatch.llm.common import join_small_keys, keep, let, words_of
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-#: Binary digits of a sketch's buckets, quartile distances between a quartile and its limit, standard
-#: deviations of a count that its limit allows, and rows' weight of the wider group in a group's limits.
-DIGITS, FENCE, SIGMAS, PRIOR_ROWS = 9, 3.0, 4.0, 20.0
+#: Binary digits of a sketch's buckets, quartile distances between a quartile and its fence, share of the way from the
+#: fence to the first TAILTH part of the rows beyond it, standard deviations of a count that its limit allows, and
+#: rows' weight of the wider group in a group's limits.
+DIGITS, FENCE, REACH, TAILTH, SIGMAS, PRIOR_ROWS = 9, 3.0, 0.25, 10, 4.0, 20.0
 #: Measures: a count, what it is a rate of, and the parts of a whole that its rate is counted in.
 MEASURES = {"symbols": ("n_symbols", "word_chars", 1_000_000), "dup_lines": ("n_dup_lines", "n_lines", 1_000_000), "word_length": ("word_chars", "n_words", 1000)}
 
@@ -82,16 +83,30 @@ def group_sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sketch_limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, rows, high and low: quartiles of each merged sketch, FENCE quartile distances away."""
+    """keys, measure, rows, high and low: where each merged sketch's bulk ends and its tails begin.
+
+    The bulk ends at fences FENCE quartile distances from the quartiles. The rows beyond a fence are its tail, and
+    the limit lies REACH of the way from the fence to the tail's nearest tenth. So a measure that most rows of a group
+    lack, whose quartiles are all 0, is limited by what the rows that have it look like, and a sketch without tail by its fences.
+    """
     merged = sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    up_to = Window.partitionBy(*keys, "measure").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = merged.withColumn("upto", F.sum("n").over(up_to))
     whole = Window.partitionBy(*keys, "measure")
-    ranked = ranked.withColumn("rows", F.sum("n").over(whole))
-    at = lambda quarter: F.min(F.when(F.col("upto") * 4 >= F.col("rows") * quarter, F.col("bucket")))
-    out = ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(1).alias("q1"), at(3).alias("q3"))
-    reach = FENCE * (F.col("q3") - F.col("q1"))
-    return out.select(*keys, "measure", "rows", (F.col("q3") + reach).cast("double").alias("high"), (F.col("q1") - reach).cast("double").alias("low"))
+    up_to = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.withColumn("upto", F.sum("n").over(up_to)).withColumn("rows", F.sum("n").over(whole))
+    at = lambda quarter: F.min(F.when(F.col("upto") * 4 >= F.col("rows") * quarter, F.col("bucket"))).over(whole)
+    fenced = ranked.withColumn("q1", at(1)).withColumn("q3", at(3))
+    distance = FENCE * (F.col("q3") - F.col("q1"))
+    fenced = fenced.withColumn("top", F.col("q3") + distance).withColumn("bottom", F.col("q1") - distance)
+    beyond = lambda outside: F.sum(F.when(outside, F.col("n")).otherwise(0)).over(whole)
+    above, below = F.col("bucket") > F.col("top"), F.col("bucket") < F.col("bottom")
+    tails = fenced.withColumn("above", beyond(above)).withColumn("below", beyond(below))
+    out = tails.groupBy(*keys, "measure").agg(
+        F.max("rows").alias("rows"), F.max("top").alias("top"), F.max("bottom").alias("bottom"),
+        F.min(F.when(above & ((F.col("upto") - F.col("rows") + F.col("above")) * TAILTH >= F.col("above")), F.col("bucket"))).alias("over"),
+        F.max(F.when(below & ((F.col("below") - F.col("upto") + F.col("n")) * TAILTH >= F.col("below")), F.col("bucket"))).alias("under"),
+    )
+    limit = lambda fence, tail: (F.col(fence) + F.coalesce(F.col(tail) - F.col(fence), F.lit(0.0)) * REACH).cast("double")
+    return out.select(*keys, "measure", "rows", limit("top", "over").alias("high"), limit("bottom", "under").alias("low"))
 
 
 def adaptive_limits(measured: DataFrame, n_groups: int = 2) -> DataFrame:

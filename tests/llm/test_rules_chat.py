@@ -49,7 +49,11 @@ def brute_kept(docs):
             if not v:
                 return 0, None
             q1, q3 = (v[math.ceil(len(v) * r / 4) - 1] for r in (1, 3))
-            out.append((q3 + rules.FENCE * (q3 - q1), q1 - rules.FENCE * (q3 - q1)))
+            ends = []
+            for fence, tail in ((q3 + rules.FENCE * (q3 - q1), v), (q1 - rules.FENCE * (q3 - q1), v[::-1])):
+                tail = [x for x in tail if (x > fence if not ends else x < fence)]
+                ends.append(fence + (tail[math.ceil(len(tail) / rules.TAILTH) - 1] - fence) * rules.REACH if tail else fence)
+            out.append(tuple(ends))
         return len(v), out
 
     def drawn(own, wider):
@@ -115,6 +119,24 @@ def test_limits_are_a_groups_own_quantiles(spark):
     assert not kept[5000] and all(kept[i] for i in kept if i != 5000)
 
 
+def test_limits_on_symbols_are_a_groups_own(spark):
+    """One rate of symbols is usual in one group and far out in another; long texts with few symbols stay."""
+    text = lambda i, n, symbols: " ".join(f"{'#' if j < symbols else 'w'}ord{i:04}a{j:04}" for j in range(n))
+    rows = [(i, text(i, 60, 0), "en", "prose") for i in range(200)]
+    rows += [(1000 + i, text(i, 60, 30 + i % 9), "en", "code") for i in range(200)]
+    rows += [(2000 + i, text(i, 60, 60).replace("ord", "###"), "en", "prose") for i in range(10)]
+    rows += [(3000, text(1, 120, 110), "en", "prose"), (3001, text(1, 120, 110), "en", "code")]
+    rows += [(4000, text(1, 3000, 7), "en", "prose")]
+    verdict = rules.quality_rules(documents(spark, rows)).collect()
+    kept = {r.doc_id: r.kept for r in verdict}
+    assert [kept[r[0]] for r in rows] == brute_kept([(lang, source, t) for _, t, lang, source in rows])
+    assert not any(kept[i] for i in range(2000, 2010)) and all(kept[i] for i in kept if i < 2000)
+    assert kept[3001] and not kept[3000] and kept[4000]
+    # One limit for all groups would decide otherwise.
+    as_one = {r.doc_id: r.kept for r in rules.quality_rules(documents(spark, [(i, t, "en", "all") for i, t, *_ in rows])).collect()}
+    assert as_one[3000] == as_one[3001] and as_one != kept
+
+
 def test_op5_query_equals_plain_python(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
     rows += [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
