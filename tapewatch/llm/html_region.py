@@ -44,7 +44,7 @@ LABELLED_PAGES = (
     "<header><h1>our site</h1><p>what it is for</p></header><div class='cookie-notice'><p>we use cookies</p></div><div id='content'><h1>[[head line]]</h1><p>[[words of the text]]</p>"
     "<div class='ad'><p>an offer</p></div><blockquote>[[a saying]]</blockquote><table><tr><td>[[cell]]</td></tr></table><pre>[[code]]</pre></div>"
     "<section id='comments'><h2>comments</h2><p>a reader said</p></section><form><label>mail</label><button>send</button></form>",
-    "<article><header><h1>[[head line]]</h1></header><p class='notice'>[[words of the text]]</p><ul class='menu-list'><li>[[a dish]]</li></ul>"
+    "<article><header><h1>[[head line]]</h1></header><p>[[words of the text]]</p><ul class='menu-list'><li>[[a dish]]</li></ul>"
     "<div class='social-science'><p>[[a study]]</p></div><div class='advert'>an offer</div><nav><a>back</a></nav><aside>see too</aside>"
     "<div class='related share'><a>other page</a></div><form>your mail<button>send</button></form><div class='comments'><p>a reader said</p></div></article>",
     "<main><div class='share'><a>post it</a></div><h2>[[head line]]</h2><div>[[bare words]]</div><figure><figcaption>[[what is seen]]</figcaption></figure>"
@@ -53,6 +53,11 @@ LABELLED_PAGES = (
     "<div class='header'>site</div><div class='menu'><a>one</a></div><div class='breadcrumb'><a>up</a></div><div class='post'><p>[[words of the text]]</p>"
     "<h3>[[part]]</h3><p>[[words with <a>a link</a> in them]]</p><ol><li>[[a step]]</li></ol><div class='advertisement'>an offer</div></div>"
     "<div class='widget sidebar'><p>other pages</p></div><div class='popup modal'><p>subscribe</p></div><div class='footer'><p>imprint</p></div>",
+    "<article><h1>[[head line]]</h1><div class='partner content'><p>an offer</p></div><div class='content'><p>[[words of the text]]</p></div><p class='notice'>we have moved</p>"
+    "<ul class='menu'><li><a>one</a></li><li>two</li></ul><div class='alert'>we are closed</div><div class='gdpr consent'><p>we use cookies</p></div><p>[[more words of it]]</p>"
+    "<div class='cta'><p>join us</p></div><section class='feedback'><p>a reader said</p></section></article>",
+    "<div class='topbar'>site</div><div class='story'><h1>[[head line]]</h1><p>[[words of the text]]</p><p class='gdpr'>we use cookies</p><p>[[more words of it]]</p></div>"
+    "<div class='cta'>join us</div><div id='disqus_thread'><p>a reader said</p></div><div class='discussion'><p>a reader said</p></div><div class='consent'>we use cookies</div>",
     "<body>[[words outside of any element of a bare page]]<p>[[words of a bare page]]</p><div><p>[[and of its end]]</p></div><section><p>[[a part]]</p></section><address>street</address></body>",
     "<div class='comment'><p>a reader said</p></div><div id='respond' class='reply'><p>say so</p></div><div class='alert notice'><p>we are closed</p></div>"
     "<div role='navigation'><a>one</a></div><div class='pagination'><a>next</a></div><article><section class='content'><p>[[words of the text]]</p></section></article>"
@@ -76,6 +81,10 @@ class Weights:
     def of(self, features) -> float:
         return self.bias + sum(self.odds.get(f, 0.0) for f in features)
 
+    def holds(self, features) -> bool:
+        """Whether an open element is a root or has a name that speaks for an article, so that its tags are the article's own."""
+        return "in root" in features or any(f[0] == "." and self.odds.get(f, 0.0) > 0 for f in features)
+
     def tag(self, name: str) -> float:
         return -TAG * (1 + 9 * self.outside.get(name, 0.5))
 
@@ -207,15 +216,20 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 
 def main_text(html: str | None, weights: Weights) -> str:
-    """The good blocks of the maximum-scoring run, joined by two newlines."""
+    """The good blocks of the maximum-scoring run, joined by two newlines.
+
+    Words of good elements score WORD. Tags cost only where they part regions: those among words that are poor, and
+    not inside a root or an element named as an article. So an article keeps its blocks whatever lies between them.
+    """
     scores: list[float] = []
     blocks: list[tuple[int, str]] = []  # token at which it ends, text
     parts: list[str] = []
     held, cache = 0.0, {}
     for kind, s, features, fresh in scan(html or ""):
         if features not in cache:
-            cache[features] = weights.of(features) > 0
-        good = cache[features]
+            good = weights.of(features) > 0
+            cache[features] = good, good or weights.holds(features)
+        good, free = cache[features]
         if fresh and parts:
             text = " ".join("".join(parts).split())
             if text:
@@ -223,7 +237,7 @@ def main_text(html: str | None, weights: Weights) -> str:
                 blocks.append((len(scores) - 1, text))
             parts, held = [], 0.0
         if kind == "tag":
-            scores.append(weights.tag(s))
+            scores.append(0.0 if free else weights.tag(s))
         elif good:
             parts.append(s)
             held += len(s.split()) * WORD

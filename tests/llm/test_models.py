@@ -236,18 +236,55 @@ def test_labelled_pages_and_what_the_weights_and_the_run_do():
     assert [html_region.main_text(plain(p), OWN) for p in pages] == [marked(p) for p in pages]
     blind = html_region.Weights(bias=1.0)
     assert all(html_region.main_text(plain(p), blind) != marked(p) for p in pages[:-2])
-    # Two good paragraphs far apart: only the better one's region is taken, without tag costs both.
-    far = "<p>one two</p>" + "<div></div>" * 60 + "<p>three four five</p>"
+    # Two good paragraphs with a menu between: only the better one's region is taken, without tag costs both.
+    far = "<p>one two</p><nav>" + "<a>x</a>" * 60 + "</nav><p>three four five</p>"
     assert html_region.main_text(far, OWN) == "three four five"
-    free = html_region.Weights(OWN.odds, OWN.bias, dict.fromkeys([*OWN.outside, "div", "p"], -1 / 9))
+    free = html_region.Weights(OWN.odds, OWN.bias, dict.fromkeys([*OWN.outside, "nav", "a"], -1 / 9))
     assert html_region.main_text(far, free) == "one two\n\nthree four five"
 
 
 def test_article_text_with_odd_class_names_stays():
-    page = "<nav><a>up</a></nav><article><h1>Head</h1><p class='notice'>a word of it</p><ul class='menu-list'><li>soup</li></ul><div class='social-science'><p>study</p></div><div class='ad'>buy</div></article>"
+    page = "<nav><a>up</a></nav><article><h1>Head</h1><p class='noticed'>a word of it</p><ul class='menu-list'><li>soup</li></ul><div class='social-science'><p>study</p></div><div class='ad'>buy</div></article>"
     assert html_region.main_text(page, OWN) == "Head\n\na word of it\n\nsoup\n\nstudy"
 
 
+@pytest.mark.parametrize("between", [
+    "<figure><img><img></figure>" * 40, "<div><span></span></div>" * 60, "<div class='ad'><a>buy</a></div>" * 300, "<nav>" + "<li><a>x</a></li>" * 300 + "</nav>",
+    "<form>" + "<label>mail</label><input>" * 200 + "</form>", "<div class='q7zx'><i></i></div>" * 200, "<table>" + "<tr><td></td></tr>" * 300 + "</table>",
+])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main><div class='w1'>{}</div></main>", "<div id='content'>{}</div>", "<nav><a>up</a></nav><article><section class='kq'>{}</section></article><footer>us</footer>"])
+def test_no_block_of_an_article_is_lost_whatever_lies_between(between, around):
+    page = around.format(f"<p>one two three</p>{between}<p>four five six seven</p>")
+    assert html_region.main_text(page, OWN) == "one two three\n\nfour five six seven"
+
+
+def test_empty_elements_of_a_plain_page_part_nothing():
+    assert html_region.main_text("<p>one two</p>" + "<div><span></span></div>" * 60 + "<p>three four five</p>", OWN) == "one two\n\nthree four five"
+
+
+@pytest.mark.parametrize("other", [
+    "<ul class='menu'><li><a>one</a></li><li>two</li></ul>", "<div class='notice'>we moved</div>", "<p class='notice'>we moved</p>", "<div class='alert'><p>we are closed</p></div>",
+    "<section class='feedback'><p>a reader said</p></section>", "<div class='partner-content'><p>an offer</p></div>", "<div id='comments'><div class='comment'><p>a reader said</p></div></div>",
+])
+def test_notices_menus_adverts_and_comments_inside_an_article_go(other):
+    assert html_region.main_text(f"<article><h1>Head</h1><p>one two three</p>{other}<p>four five</p></article>", OWN) == "Head\n\none two three\n\nfour five"
+
+
+@pytest.mark.parametrize("other", ["disqus_thread", "gdpr", "cta", "topbar", "discussion", "consent"])
+def test_named_blocks_beside_a_plain_text_go(other):
+    for page in ("{o}<div><p>one two three</p><p>four five</p></div>", "<div><p>one two three</p><p>four five</p></div>{o}", "<div class='k1'><p>one two three</p>{o}<p>four five</p></div>"):
+        assert html_region.main_text(page.format(o=f"<div class='{other}'><p>words of it</p></div>"), OWN) == "one two three\n\nfour five"
+
+
+def test_names_that_are_random_strings_keep_all_text_of_the_root():
+    rng = np.random.default_rng(5)
+    name = lambda: "".join(rng.choice(list("bcdfghjkqvwxz"), 7))
+    for _ in range(50):
+        body = "".join(f"<{t} class='{name()} {name()}' id='{name()}'><p>block {k}</p></{t}>" for k, t in enumerate(rng.choice(["div", "section", "span"], 6)))
+        page = f"<nav class='{name()}'><a>up</a></nav><div class='{name()}'><article class='{name()}'>{body}</article></div><footer class='{name()}'>us</footer>"
+        assert html_region.main_text(page, OWN) == "\n\n".join(f"block {k}" for k in range(6))
+
+
 @pytest.mark.parametrize("page", ["<a " * 350_000, '<a b="' * 170_000, "<!" * 500_000, "<script" * 150_000, "<!--" * 250_000, "<a b='x\">" * 110_000])
 def test_time_is_linear_in_the_page(page):
     began = time.time()
