@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.functions.storage import keep
+from tapewatch.functions.storage import keep, shared_folder
+from tapewatch.operators import account_index
 from tapewatch.operators import alerts as store
 from tapewatch.operators import anomaly, calibration, evaluation
 from tapewatch.plans.surveillance import A7, ALERTS, BASE, all_alerts, flat, sequenced
@@ -13,6 +16,7 @@ from tapewatch.sources import adapter
 
 AL = BASE + ALERTS
 _store: dict[tuple, DataFrame] = {}
+_index: dict[tuple, str] = {}
 #: Windows below this score raise no anomaly alert.
 ML_THRESHOLD = 0.7
 
@@ -35,6 +39,17 @@ def stored_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return _store[key]
 
 
+def indexed_alerts(spark: SparkSession, sf: str) -> str:
+    """The folder of the same alerts with postings by account, in two batches by the parity of their ids."""
+    key = (spark.sparkContext.applicationId, input_state(spark, sf))
+    if key not in _index:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        for batch in (0, 1):
+            account_index.add_batch(stored_alerts(spark, sf).filter(F.col("alert_id") % 2 == batch), folder, batch)
+        _index[key] = folder
+    return _index[key]
+
+
 def shown(df: DataFrame, *more) -> DataFrame:
     return flat(df, "alert_id", "book_snapshot_sequence", *more)
 
@@ -43,6 +58,16 @@ def alerts_by_account(spark, sf):
     return shown(store.find_alerts(stored_alerts(spark, sf), account="ACC-000003"))
 
 
+def alerts_by_account_indexed(spark, sf):
+    """The account's alerts through the index: only files that its postings name are read."""
+    return shown(account_index.account_alerts(spark, indexed_alerts(spark, sf), stored_alerts(spark, sf).schema, "ACC-000003"))
+
+
+def account_activity(spark, sf):
+    """Each account's number of alerts and their first and last times, from postings alone."""
+    return account_index.account_totals(spark, indexed_alerts(spark, sf))
+
+
 def alerts_by_detector(spark, sf):
     return shown(store.find_alerts(stored_alerts(spark, sf), detector="FrontRunningDetector"))
 
@@ -287,13 +312,15 @@ def ml_sweep(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    alerts_by_account, alerts_by_detector, alerts_time_range, alerts_recent, alerts_page, alert_by_id, alerts_search, alerts_severity, alerts_sorted, timeline_positions, evidence_parsed, evidence_fields,
+    alerts_by_account, alerts_by_account_indexed, account_activity, alerts_by_detector, alerts_time_range, alerts_recent, alerts_page, alert_by_id, alerts_search, alerts_severity, alerts_sorted, timeline_positions, evidence_parsed, evidence_fields,
     evidence_readable, case_status, universes, confusion_matrix, threshold_sweep, mtc_collisions, abuse_windows, size_percentiles, size_percentiles_rollup, spread_percentiles,
     implausible_spreads, consecutive_price_moves, top_price_jumps, qtr_percentiles, arrival_rate, crosstab_codes, zero_size_rate, zero_size_matches, quote_pull, ml_features, ml_scores, ml_alerts, ml_sweep,
 )}
 COUNTS = "CAST(sum(CASE WHEN score >= {t} AND y THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN score >= {t} AND NOT y THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN score < {t} AND y THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN score < {t} AND NOT y THEN 1 ELSE 0 END) AS BIGINT) AS tn"
 ORACLE = {
     "alerts_by_account": AL + A7 + " WHERE list_contains(string_split(account_ids, ','), 'ACC-000003')",
+    "alerts_by_account_indexed": AL + A7 + " WHERE list_contains(string_split(account_ids, ','), 'ACC-000003')",
+    "account_activity": AL + " SELECT account, count(*) AS n_alerts, min(window_start_ns) AS first_ns, max(window_start_ns) AS last_ns FROM (SELECT alert_id, window_start_ns, unnest(list_distinct(string_split(account_ids, ','))) AS account FROM al) GROUP BY account",
     "alerts_by_detector": AL + A7 + " WHERE detector_name = 'FrontRunningDetector'",
     "alerts_time_range": AL + A7 + " WHERE window_start_ns BETWEEN 1704067300000000000 AND 1704067600000000000",
     "alerts_recent": AL + A7 + " ORDER BY alert_id DESC LIMIT 50",
