@@ -130,7 +130,7 @@ def fingerprint_labels(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
     cold = met(probing(fps.select("fp")), entries.join(hot, ["seg", "v"], "left_anti"))
     star = keep(met(probing(fps.select("fp")), hot.withColumnRenamed("first", "fp")).unionByName(cold).distinct())
     labels = component_labels(star).withColumnRenamed("node", "fp")
-    named = fps.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    named = keep(fps.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")))  # read once a segment
     inside = keep(entered(named).join(hot.select("seg", "v"), ["seg", "v"]))
     counts = inside.groupBy("seg", "v", "label").agg(F.count(F.lit(1)).alias("n"))
     most = counts.groupBy("seg", "v").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
