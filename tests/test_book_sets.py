@@ -134,3 +134,17 @@ def test_last_before(spark, bits):
     df = keep(spark.createDataFrame(rows, "k string, p bigint, v double"))
     got = {r.p: r.last for r in running.last_before(df, ["k"], "p", {"last": "v"}, bits).collect()}
     assert got == {p: next((v for k2, p2, v in reversed(rows[:p]) if k2 == k and v is not None), None) for k, p, _ in rows}
+
+
+def test_sums_within_a_span(spark):
+    """Equal times count in full, what is exactly span old counts, and blocks and keys don't mix."""
+    data = [(k, t, i % 3) for k in ("a", "b", None) for i, t in enumerate([0, 0, 5, 9, 10, 10, 15, 30, 40, 40, 41])]
+    rows = spark.createDataFrame(data, "k string, t long, v long")
+    got = {(r.k, r.t): r.s for r in running.sums_within(rows, ["k"], "t", 10, {"s": "v"}, bits=1).collect()}
+    assert got == {(k, t): sum(v for k2, t2, v in data if k2 == k and t - 10 <= t2 <= t) for k, t, _ in data}
+
+
+def test_ambient_moves_go_through_no_range_window(spark, sf):
+    """A range frame sums its half minute anew for each row, and holds the instrument in one task."""
+    plan = surveillance.ambient_moves(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in plan
