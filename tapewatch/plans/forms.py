@@ -16,6 +16,8 @@ BASE = adapter.SQL
 EVENTS = BASE + """, tl AS (SELECT evs.*, row_number() OVER (ORDER BY evs.timestamp_ns, evs.is_exec, evs.idx) AS seq, evs.kind = 'execution' AS done, x.trade_id, x.counterparty_account_id,
   CASE WHEN evs.event_id % 3 = 0 THEN 'Market' ELSE 'Limit' END AS order_type, 'V' || CAST(evs.event_id % 4 AS VARCHAR) AS venue FROM evs LEFT JOIN exe x ON evs.kind = 'execution' AND x.event_id = evs.event_id)"""
 WHOLE = ("qty", "timestamp_ns")
+#: Orders and executions of one JSON document, about 6 MB of text, and the fewest documents.
+DOCUMENT_ROWS, MIN_DOCUMENTS = 20_000, 16
 FIX_COLUMNS = ("kind", "status", "order_id", "orig_order_id", "trade_id", "account_id", "instrument_id", "side", "qty", "price", "order_type", "timestamp_ns", "venue", "counterparty_account_id")
 
 
@@ -95,8 +97,11 @@ def labelled_csv(spark, sf):
 
 
 def labelled_json(spark, sf):
+    """Documents are as many as rows ask for: a reader takes one whole, so more rows must not make larger ones."""
     path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
-    files.labelled_documents(*labelled(spark, sf), documents=16).write.partitionBy("part").text(path)
+    orders, executions = labelled(spark, sf)
+    documents = max(MIN_DOCUMENTS, -(-(orders.count() + executions.count()) // DOCUMENT_ROWS))
+    files.labelled_documents(orders, executions, documents).write.partitionBy("part").text(path)
     return both(*files.read_labelled_json(spark, path))
 
 

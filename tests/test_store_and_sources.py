@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapewatch.functions.storage import numbered
 from tapewatch.operators import alerts as store
 from tapewatch.operators import calibration, detectors, evaluation
+from tapewatch.plans import forms
 from tapewatch.sources import files, fix, generator
 
 S = 1_000_000_000
@@ -129,6 +130,14 @@ def test_labelled_files(spark, tmp_path):
     assert o.count() == orders.count() and e.filter("gt_pattern = 'WashTrade'").count() == executions.filter("gt_pattern = 'WashTrade'").count() > 0
 
 
+def test_json_documents_grow_in_number(spark, sf, monkeypatch):
+    """A reader takes a document whole, so more rows make more documents and no larger ones."""
+    monkeypatch.setattr(forms, "DOCUMENT_ROWS", 20)
+    rows = forms.labelled_json(spark, sf)
+    n, sizes = rows.count(), [r.n for r in rows.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > n / 40 and max(sizes) < 80
+
+
 def test_market_files_and_statistics(spark, tmp_path):
     (tmp_path / "t.csv").write_text("sym_root,date,time_m,price,size\nA,d,11:00:00.123456789,10,5\nA,d,11:00:01,11,0\nA,d,11:00:02.5,12,7\n")
     (tmp_path / "q.csv").write_text("sym_root,date,time_m,bid,ask,bidsiz\nA,d,11:00:00,9,10,1\nA,d,11:00:01,9,10,0\nA,d,11:00:02,9,10,3\n")
