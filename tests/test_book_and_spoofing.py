@@ -1,6 +1,7 @@
 """Books and the spoofing detector against hand-computed values."""
 
 import json
+import time
 
 import pytest
 
@@ -135,3 +136,13 @@ def test_enforcement_case(spark):
     assert case.count() == 61
     got = sorted(round(r.score, 6) for r in book.replay(case, "scores").filter("fired").collect())
     assert got == sorted(5 * [0.761111, 0.761111, 0.711111, 0.661111, 0.611111])
+
+
+def test_replaces_that_keep_their_place_take_one_step():
+    """Each of many replaces in one long queue; gone through for each, the queue would take minutes."""
+    n = 40_000
+    events = [new(f"O{i}", "Buy", 100, 10, i) for i in range(n)] + [replace(f"O{i}", f"R{i}", "Buy", 100, 5, n + i) for i in range(n)]
+    began = time.process_time()
+    b = run(events)
+    assert time.process_time() - began < 20
+    assert list(b.levels["Buy"][100.0]) == [f"R{i}" for i in range(n)] and b.level_qty("Buy", 100.0) == 5 * n
