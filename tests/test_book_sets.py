@@ -148,3 +148,16 @@ def test_ambient_moves_go_through_no_range_window(spark, sf):
     """A range frame sums its half minute anew for each row, and holds the instrument in one task."""
     plan = surveillance.ambient_moves(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame" not in plan
+
+
+def test_concurrent_orders_join_on_no_null_key(spark, sf):
+    """Orders have no trade id, so a left join on it would bring all of them into one task."""
+    plan = surveillance.concurrent_orders(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
+
+
+def test_positions_of_few_keys_need_no_join_by_key(spark):
+    """A hot instrument's rows stay where they are."""
+    rows = running.with_position(spark.range(50).selectExpr("id % 2 AS k", "id AS t"), ["k"], ["t"], "at", "n")
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().toString()
+    assert sorted((r.n, r.k, r.t, r.at) for r in rows.collect()) == [(i + 1, i // 25, 2 * (i % 25) + i // 25, i % 25 + 1) for i in range(50)]
