@@ -161,3 +161,13 @@ def test_positions_of_few_keys_need_no_join_by_key(spark):
     rows = running.with_position(spark.range(50).selectExpr("id % 2 AS k", "id AS t"), ["k"], ["t"], "at", "n")
     assert "SortMergeJoin" not in rows._jdf.queryExecution().toString()
     assert sorted((r.n, r.k, r.t, r.at) for r in rows.collect()) == [(i + 1, i // 25, 2 * (i % 25) + i // 25, i % 25 + 1) for i in range(50)]
+
+
+def test_anomalies_leave_the_numbers_of_other_alerts_alone(spark, monkeypatch):
+    """all_alerts is what its SQL states at any size; with alerts of the forest, all_six_alerts has those as well."""
+    anomalies = detectors.anomalies
+    monkeypatch.setattr(detectors, "anomalies", lambda events: anomalies(events, 0.0))
+    rules = surveillance.all_alerts_flat(spark, "/root/testdata/sf0.01")
+    assert (rules.count(), rules.agg({"alert_id": "max"}).first()[0]) == (465, 465) and "MlAnomalyDetector" not in {r[0] for r in rules.select("detector_name").distinct().collect()}
+    six = surveillance.all_six_alerts(spark, "/root/testdata/sf0.01")
+    assert (six.count(), six.filter("detector_name = 'MlAnomalyDetector'").count()) == (530, 65)
