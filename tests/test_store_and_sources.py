@@ -105,6 +105,13 @@ def test_malformed_messages(spark):
     assert sorted((r["last"], r["next"]) for r in fix.sequence_gaps(gaps, "session").collect()) == [(2, 5), (6, 9)]
 
 
+def test_fields_are_found_without_a_pattern_for_each(spark):
+    """The first value of a tag, also empty; none for a field that isn't ended. Lines are searched for some twenty tags, so no search tries alternatives."""
+    lines = spark.createDataFrame([("55=A\x0155=B\x01155=C\x01",), ("1=x\x0155=\x01",), ("1=x\x0155=A",), ("55=a=\u00e9\n\x01",), ("",), (None,)], "raw string")
+    assert [r[0] for r in lines.select(fix.field(F.col("raw"), 55)).collect()] == ["A", "", None, "a=\u00e9\n", None, None]
+    assert "(?:^|" not in fix.decode(lines)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_event_json_round_trip(spark):
     events = spark.createDataFrame(FLOW, EVENTS)
     lines = files.encode_events(events)
