@@ -2,11 +2,12 @@
 
 import json
 import time
+import tracemalloc
 
 import pytest
 
 from tapewatch.functions.schemas import EVENT
-from tapewatch.operators import book
+from tapewatch.operators import book, detectors
 from tapewatch.sources import generator
 
 S = 1_000_000_000
@@ -146,3 +147,17 @@ def test_replaces_that_keep_their_place_take_one_step():
     b = run(events)
     assert time.process_time() - began < 20
     assert list(b.levels["Buy"][100.0]) == [f"R{i}" for i in range(n)] and b.level_qty("Buy", 100.0) == 5 * n
+
+
+def test_replayed_instruments_fit_an_executor():
+    """Four tasks with the largest instruments that are still replayed need less than half of 4 GB, by the state of a fifth of their orders resting."""
+    n = 5000
+    tracemalloc.start()
+    b, s = book.Book(), book.SpoofState()
+    for i in range(n):
+        for e in [new(f"ORD-{i:08d}", ("Buy", "Sell")[i % 2], 100 + i % 21 / 4, 100, i * S // 100, f"ACC-{i % 1500:06d}")] + [cancel(f"ORD-{i:08d}", i * S // 100)] * (i % 5 > 1):
+            b.apply(e)
+            s.process(b, e)
+    each = tracemalloc.get_traced_memory()[0] / b.sequence
+    tracemalloc.stop()
+    assert 4 * detectors.KEYED_EVENTS * each < 2e9
