@@ -46,7 +46,7 @@ FROM rst WINDOW w AS (PARTITION BY instrument_id, side, p2 ORDER BY prio)"""
 
 def rejected_events(spark, sf):
     """The events that books reject, by kind: they use up a sequence number and change nothing."""
-    return book_sets.effects(book_sets.folded(amended(spark, sf))).filter("skipped").select("seq", "kind", "status", "order_id", "instrument_id", "qty")
+    return book_sets.folded(amended(spark, sf)).filter("skipped").select("seq", "kind", "status", "order_id", "instrument_id", "qty")
 
 
 def amended_replay(spark, sf):

@@ -73,6 +73,32 @@ def test_spoofing_scores_equal_the_keyed_state(spark, flow):
     assert exact(detectors.spoof_scores(events, most=500)) == want == exact(detectors.spoof_scores(events))  # one of the two instruments has more
 
 
+def test_chains_of_replaces_find_their_first_order(spark, monkeypatch):
+    """By a few joins, without component labels, which the flow of the queries never needs; circles, forks and long chains still do."""
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(32)] + [("x", "y"), ("z", "z")]
+    links = lambda pairs: spark.createDataFrame(pairs, "a string, b string")
+    got = {r.node: r.label for r in book_sets.first_orders(links(chain)).collect()}
+    assert got == {f"n{i + 1}": "n0" for i in range(32)} | {"y": "x"}
+    for odd in ([("a", "b"), ("b", "a")], [("a", "c"), ("b", "c")], [(f"n{i}", f"n{i + 1}") for i in range(33)]):
+        assert book_sets.first_orders(links(odd)) is None
+    monkeypatch.setattr(book_sets, "component_labels", lambda links: pytest.fail("a chain was labelled as a component"))
+    assert book_sets.queue(event_rows(spark, TEN)).count() == book_sets.resting_orders(event_rows(spark, TEN)).count() > 0
+
+
+def test_families_are_folded_as_streams(spark, flow):
+    """No life of a family is one value: a task takes a family of any length batch by batch, and its state goes on from one to the next."""
+    events = event_rows(spark, flow)
+    want = {r.seq: r.skipped for r in book.replay(events, "trace").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.seq: r.skipped for r in book_sets.folded(events).collect()}
+        ends = book_sets.folded(events, resting=True).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and ends == book_sets.folded(events, resting=True).count() > 0
+    assert not any("array" in kind for _, kind in book_sets.folded(events).dtypes)
+
+
 def test_queue_keeps_and_loses_places(spark, flow):
     for events in (flow, TEN):
         books = defaultdict(book.Book)
