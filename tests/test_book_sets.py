@@ -5,12 +5,13 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapewatch.functions import running
 from tapewatch.functions.schemas import EVENT
 from tapewatch.functions.storage import keep
-from tapewatch.operators import book, book_sets, detectors
-from tapewatch.plans import surveillance
+from tapewatch.operators import book, book_sets, detectors, evaluation
+from tapewatch.plans import cases, surveillance
 from tests.test_book_and_spoofing import TEN
 
 COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
@@ -197,3 +198,12 @@ def test_anomalies_leave_the_numbers_of_other_alerts_alone(spark, monkeypatch):
     assert (rules.count(), rules.agg({"alert_id": "max"}).first()[0]) == (465, 465) and "MlAnomalyDetector" not in {r[0] for r in rules.select("detector_name").distinct().collect()}
     six = surveillance.all_six_alerts(spark, "/root/testdata/sf0.01")
     assert (six.count(), six.filter("detector_name = 'MlAnomalyDetector'").count()) == (530, 65)
+
+
+def test_forest_leaves_the_matrix_of_the_store_alone(spark, monkeypatch):
+    """confusion_matrix is what its SQL states at any size; with windows of the forest raised, confusion_matrix_six has them."""
+    monkeypatch.setattr(cases, "ML_THRESHOLD", 0.0)
+    raised = lambda found: {r.tp + r.fp for r in found.filter("detector_name = 'MlAnomalyDetector'").collect()}
+    sf = "/root/testdata/sf0.01"
+    assert raised(cases.confusion_matrix(spark, sf)) == {0}
+    assert raised(evaluation.confusion(cases.outcomes(spark, sf, anomalies=True), F.lit(0.0))) == {65}
