@@ -201,9 +201,10 @@ def test_anomalies_leave_the_numbers_of_other_alerts_alone(spark, monkeypatch):
 
 
 def test_forest_leaves_the_matrix_of_the_store_alone(spark, monkeypatch):
-    """confusion_matrix is what its SQL states at any size; with windows of the forest raised, confusion_matrix_six has them."""
+    """confusion_matrix and threshold_sweep are what their SQL states at any size; with windows of the forest raised, those of six have them."""
     monkeypatch.setattr(cases, "ML_THRESHOLD", 0.0)
     raised = lambda found: {r.tp + r.fp for r in found.filter("detector_name = 'MlAnomalyDetector'").collect()}
     sf = "/root/testdata/sf0.01"
-    assert raised(cases.confusion_matrix(spark, sf)) == {0}
+    assert raised(cases.confusion_matrix(spark, sf)) == raised(cases.threshold_sweep(spark, sf)) == {0}
     assert raised(evaluation.confusion(cases.outcomes(spark, sf, anomalies=True), F.lit(0.0))) == {65}
+    assert 65 in raised(cases.threshold_sweep_six(spark, sf))
