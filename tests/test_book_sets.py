@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewatch.functions import running
 from tapewatch.functions.schemas import EVENT
 from tapewatch.functions.storage import keep
-from tapewatch.operators import book, book_sets, detectors, evaluation
+from tapewatch.operators import book, book_sets, detectors, evaluation, reports
 from tapewatch.plans import cases, surveillance
 from tests.test_book_and_spoofing import TEN
 
@@ -208,3 +208,20 @@ def test_forest_leaves_the_matrix_of_the_store_alone(spark, monkeypatch):
     assert raised(cases.confusion_matrix(spark, sf)) == raised(cases.threshold_sweep(spark, sf)) == {0}
     assert raised(evaluation.confusion(cases.outcomes(spark, sf, anomalies=True), F.lit(0.0))) == {65}
     assert 65 in raised(cases.threshold_sweep_six(spark, sf))
+
+
+def exploded(depth):
+    """The orders of snapshots, one by one."""
+    return {(r.instrument_id, r.sequence, r.last_event_timestamp_ns, side, v.price, v.total_qty, n, *o) for r in depth.collect() for side, levels in (("Buy", r.bids), ("Sell", r.asks)) for v in levels for n, o in enumerate(v.orders)}
+
+
+def test_snapshots_against_the_keyed_book(spark):
+    """With replaces that keep or lose their place, and rejected events among them and at the end."""
+    events = event_rows(spark, random_events(900, 31))
+    got = [tuple(r) for r in book_sets.snapshots(events).collect()]
+    assert len(got) == len(set(got)) > 20 and set(got) == exploded(reports.depth_json(book.replay(events, "snapshots")))
+
+
+def test_book_snapshots_hold_no_book(spark, sf, monkeypatch):
+    monkeypatch.delattr(book, "replay")
+    assert surveillance.book_snapshots(spark, sf).count() > 0
